@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.keys import row_hash
+from marlstone.storage import Scratch
 
 #: Default width of a time bucket: a week, in microseconds.
 WEEK_US = 7 * 86_400 * 1_000_000
@@ -53,7 +54,8 @@ def validity_periods(
     in_bucket = Window.partitionBy("_mh_key", "_mh_bucket").orderBy("_mh_us")
     before_hash, before = F.lag("_mh_hash").over(in_bucket), F.lag("_mh_a").over(in_bucket)
     same = (before_hash == F.col("_mh_hash")) & before.eqNullSafe(F.col("_mh_a"))
-    islands = (
+    # written once: both the edges and the result read the islands, and the records are parsed once
+    islands = Scratch(df.sparkSession, "history").keep(
         rows.withColumn("_mh_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
         .withColumn("_mh_island", F.sum("_mh_new").over(in_bucket))
         .groupBy("_mh_key", "_mh_bucket", "_mh_island")

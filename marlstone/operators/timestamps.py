@@ -309,7 +309,8 @@ def utc_micros(text: Column, zone: Column, day_first: Column, zones: Iterable[st
         found = to_utc_micros(texts, zone_ids, first, abbr)
         return pd.Series(found, dtype="Int64").mask(found == NONE)
 
-    return convert(text, zone, day_first)
+    # marked so, else a filter on the result is pushed down and parses every text twice
+    return convert.asNondeterministic()(text, zone, day_first)
 
 
 def with_utc_micros(df: DataFrame, text: str, writer: Column, writers: DataFrame, name: str = "utc_us") -> DataFrame:
