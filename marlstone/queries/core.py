@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.keys import norm_key, stable_double
-from marlstone.operators import hierarchy, history, nested, references, snapshots, timestamps
+from marlstone.operators import hierarchy, history, nested, references, snapshots, timestamps, units
 from marlstone.sources.tables import table
 from marlstone.storage import Scratch
 
@@ -135,6 +135,22 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return p4_found(spark, d).groupBy("snapshot_id", "change").agg(F.count(F.lit(1)).alias("n_claims"))
 
 
+# p5: quantities
+
+
+def _quantities(spark: SparkSession, d: str) -> DataFrame:
+    return units.canonical_quantities(table(spark, d, "claims_clean_crohns"), table(spark, d, "unit_registry"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _quantities(spark, d).select(norm_key(F.col("claim_id")).alias("claim_id"), "canonical_unit", "canonical_value").distinct()
+
+
+def p5_quantities(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities with their source, residual and whether another reading fits as well."""
+    return _quantities(spark, d).select("claim_id", "canonical_unit", "canonical_value", "source", F.round("residual", 6).alias("residual"), "is_unique")
+
+
 # p6: hierarchies
 
 
@@ -177,6 +193,8 @@ QUERIES: dict[str, Query] = {
     "p3_history": p3_history,
     "p4_found": p4_found,
     "p4_counts": p4_counts,
+    "p5_found": p5_found,
+    "p5_quantities": p5_quantities,
     "p6_found": p6_found,
     "p6_nested_sets": p6_nested_sets,
     "p6_paths": p6_paths,

@@ -18,14 +18,14 @@ MONTH_FIRST = ["%m/%d/%Y %H:%M", "%m/%d/%Y %H:%M:%S", "%m/%d/%Y %I:%M %p", "%m/%
 
 
 def norm(x):
-    return None if x is None else x.strip(" \t\n ").lower()
+    return None if x is None else x.strip(" \t\n\u00a0").lower()
 
 
 def instant(text, zone, day_first):
     """UTC microseconds of a date text, or None."""
     if text is None:
         return None
-    t = text.strip(" \t\n ")
+    t = text.strip(" \t\n\u00a0")
     if re.fullmatch(r"\d+", t):
         for unit in (1, 10**3, 10**6, 10**9):
             if 2023 <= (EPOCH + timedelta(seconds=min(int(t) // unit, 10**11))).year <= 2027:
@@ -213,7 +213,7 @@ def p2(rows):
 
     for r in rows:
         try:
-            value = json.loads((r["payload"] or "").lstrip("﻿"))
+            value = json.loads((r["payload"] or "").lstrip("\ufeff"))
         except ValueError:
             continue
         for c in claims(value):
@@ -222,3 +222,57 @@ def p2(rows):
             for i, k in enumerate(chapters(c.get("supports_chapters"))):
                 out.add((r["record_id"], c["claim_id"], "supports_chapters", i, k))
     return out
+
+
+#: number and unit at the place where the sentence of a measure states them
+UNIT_WORDS = [(re.compile(p, re.I), u) for p, u in [
+    (r"mm ?hg|torr|millimetres of mercury", "mmHg"), (r"cm ?h[2₂]o|centimetres of water", "cmH2O"), (r"psi|pounds per square inch", "psi"),
+    (r"kpa|kilopascals", "kPa"), (r"pa|pascals", "Pa"), (r"mg/l|mg·l⁻¹|milligrams per litre", "mg/l"), (r"mg/dl|mg per dl", "mg/dl"),
+    (r"(µg|μg|mcg)/ml", "ug/ml"), (r"g/l|grams per litre", "g/l"), (r"mm\.?|millimet(er|re)s", "mm"), (r"cm\.?|centimet(er|res)", "cm"),
+    (r"m|met(re|ers)", "m"), (r"in|inch|inches|\"", "in"), (r"kg|kilos|kilograms", "kg"), (r"mgs?|milligrams", "mg"), (r"ug|µg|μg|mcg|micrograms", "ug"),
+    (r"g|gm|grams", "g"), (r"lbs?|pounds", "lb"), (r"s|sec|seconds", "s"), (r"mins?|minutes", "min"), (r"h|hrs?|hours", "h"), (r"d|days|day\(s\)", "d"),
+    (r"wks?|weeks", "wk"), (r"dl|decilitres", "dl"), (r"ml|cc|millilitres", "ml"), (r"ul|µl|μl|microlitres", "ul"), (r"l|lit(re|er)s", "l"),
+    (r"cells", "cells"), (r"°f|f|degrees fahrenheit", "degF"), (r"°c|℃|c|degrees celsius", "degC"), (r"k|kelvin", "K")]]
+WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
+
+
+def p5(rows, registry):
+    reg = {r["unit"]: r for r in registry}
+    out = set()
+    for r in rows:
+        if r["measure"] is None:
+            continue
+        found = None
+        text = re.sub("[\u00a0\u202f\u2009]", " ", r["canonical_text"] or "")
+        text = re.sub(r"^\| (.*) \|$", r"\1", text)
+        text = re.sub(r"^(At centre \d+, |In the \w+ trial, |Among \d+ patients, |By \d{4}, |\(\w+, \d{4}\) )", "", text)
+        text = re.sub(r"(, as \w+ also found|; n = \d+|, with a response rate of [\d.]+%| \(p = [\d.]+\))?\.?$", "", text)
+        m = re.search(r"(minus |[-−])?\b(\d[\d ]*(?:[.,]\d+)?(?:[eE]\+?\d+)?|%s)( ?[x×] ?10(?:\^\d+|[⁰-⁹¹²³]+))?(.*)" % "|".join(sorted(WORDS, key=len, reverse=True)), text, re.I)
+        if m:
+            n = m[2].strip().lower()
+            if n in WORDS:
+                v = float(WORDS.index(n))
+            elif re.fullmatch(r"\d{1,3},\d{3}", n) and not n.startswith("0"):
+                v = float(n.replace(",", ""))
+            else:
+                v = float(n.replace(" ", "").replace(",", "."))
+            if m[3]:
+                v *= 10 ** int(re.sub(r".*10\^?", "", m[3]).translate(str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789")))
+            rest = m[4].lstrip(" -")
+            if re.match(r"(million|mln|m)[ -]cells", rest, re.I):
+                v, rest = v * 1e6, rest[rest.index("cells"):]
+            rest = re.sub(r" (on imaging|was probed|of suspension.*|of the study drug|was given on admission|per visit|was recorded|was injected.*|in one session|was required)$", "", rest)
+            u = next((u for p, u in UNIT_WORDS if p.fullmatch(rest)), None)
+            if u:
+                found = (v * (-1 if m[1] else 1), u)
+        if found is None and r["value"] is not None and r["unit"]:
+            t, k = re.sub("[\u00a0\u202f\u2009]", " ", r["unit"]).strip(), 1.0
+            if m := re.match(r"(x?10\^6|million) (cells)$", t):
+                t, k = m[2], 1e6
+            u = next((u for p, u in UNIT_WORDS if p.fullmatch(t)), None)
+            if u:
+                found = (r["value"] * k, u)
+        if found:
+            x = reg[found[1]]
+            out.add((norm(r["claim_id"]), x["canonical_unit"], f"{found[0] * x['scale_to_canonical'] + x['offset_to_canonical']:.3e}"))
+    return out

@@ -47,3 +47,8 @@ def test_p6(spark, data, tables):
 
 def test_p7(spark, data, tables):
     assert got(spark, data, "p7_found", "source_table", "record_key", "utc_us") == brute.p7(tables)
+
+
+def test_p5(spark, data, tables):
+    rows, registry = (pq.read_table(f"{data}/{n}.parquet").to_pylist() for n in ("claims_clean_crohns", "unit_registry"))
+    assert got(spark, data, "p5_found", "claim_id", "canonical_unit", "canonical_value") == brute.p5(rows, registry)
