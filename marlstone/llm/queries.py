@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import packing, tokens
+from marlstone.llm import abuse, packing, tokens
 from marlstone.sources.tables import table
 from marlstone.storage import Scratch
 
@@ -48,9 +48,30 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d))
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    model = abuse.fit_documents(documents, table(spark, d, "content_labels"))
+    return abuse.score_documents(documents, model, ("source",))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.source_rates(_scored(spark, d))
+
+
 QUERIES: dict[str, Query] = {
     "p8_ids": p8_ids,
     "p8_roundtrip": p8_roundtrip,
     "p9_containers": p9_containers,
     "p9_fill": p9_fill,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
