@@ -84,12 +84,12 @@ def variance(array: Column) -> Column:
     return F.when(F.size(array) > 0, F.greatest(F.lit(0.0), total(F.transform(array, lambda x: x.cast("double") * x)) / F.size(array) - m * m))
 
 
-def reading_ease(c: Column) -> Column:
-    """Flesch reading ease of a text, two decimals; null without words."""
+def reading_ease(c: Column, digits: int = 2) -> Column:
+    """Flesch reading ease of a text, two decimals by default; null without words."""
     ws = tokens(c)
     n, s = F.size(ws), F.greatest(F.lit(1), F.size(sentences(c)))
     syl = total(F.transform(ws, syllables_by_groups))
-    return F.when(n > 0, F.round(206.835 - 1.015 * n / s - 84.6 * syl / n, 2))
+    return F.when(n > 0, F.round(206.835 - 1.015 * n / s - 84.6 * syl / n, digits))
 
 
 def grade(c: Column) -> Column:

@@ -29,7 +29,7 @@ def text_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_reading_ease(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", T.reading_ease(F.col("text")).alias("reading_ease")).where("reading_ease is not null")
+    return _docs(spark, d).select("doc_id", T.reading_ease(F.col("text"), 6).alias("reading_ease")).where("reading_ease is not null")
 
 
 def text_register(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +153,7 @@ _Z = "CASE WHEN stdev > 0 THEN (f - mean) / stdev ELSE 0 END"
 SQL: dict[str, str] = {
     "text_counts": rf"""WITH {_S}, {_P} SELECT s.doc_id, len(s) AS n_sentences, len(p) AS n_paragraphs, len({_WC}) AS n_tokens, len(regexp_extract_all(text, '{_W}')) AS n_words
         FROM s JOIN p USING (doc_id) JOIN documents d USING (doc_id)""",
-    "text_reading_ease": f"""WITH {_S}, t AS (SELECT doc_id, {_WC} AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id, round(206.835::DOUBLE - 1.015::DOUBLE * len(w) / greatest(1, len(s)) - 84.6::DOUBLE * list_sum({_GROUPS % 'w'}) / len(w), 2) AS reading_ease
+    "text_reading_ease": f"""WITH {_S}, t AS (SELECT doc_id, {_WC} AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id, round(206.835::DOUBLE - 1.015::DOUBLE * len(w) / greatest(1, len(s)) - 84.6::DOUBLE * list_sum({_GROUPS % 'w'}) / len(w), 6) AS reading_ease
         FROM t JOIN s USING (doc_id) WHERE len(w) > 0""",
     "text_register": r"""SELECT CASE WHEN regexp_matches(text, '(?i)\b(must|wrong|fallacy|absurd|refute|nonsense)\b') THEN 'polemic'
         WHEN regexp_matches(text, '(?i)\b(algorithm|protocol|equation|parameter|function|estimator|posterior)\b') THEN 'technical' ELSE 'narrative' END AS register, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1""",
