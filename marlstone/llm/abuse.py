@@ -162,19 +162,57 @@ class Bags:
         return np.add.reduceat(weights[self.ids], self.starts) if len(self.starts) else np.array([])
 
 
-def learned_weights(bags: Bags, y: np.ndarray, w: np.ndarray, rounds: int = 3, least: float = 3.0) -> dict[str, float]:
-    """Log odds of words and pairs, learned by passages; documents of weight 0 are not seen.
+def learned_weights(bags: Bags, y: np.ndarray, w: np.ndarray, epochs: int = 60, least: float = 3.0, rate: float = 0.5, ridge: float = 1e-3) -> dict[str, float]:
+    """Weights of words and pairs, learned by passages; documents of weight 0 are not seen.
+
+    Labels belong to documents, and one passage makes a document objectionable. So a document
+    counts by the passage that looks worst at the time, and a logistic fit moves the weights of
+    that passage's marks towards the label: the worst passage of a harmless document is just
+    what must be told from a foul one. Starts from the log odds of marks over documents, and takes
+    marks seen in at least ``least`` documents.
+    """
+    if not len(bags.owner) or not (y * w).sum() or not ((1 - y) * w).sum():
+        return {}
+    pos, neg = bags.document_counts(y * w), bags.document_counts((1 - y) * w)
+    p_all, n_all = float((y * w).sum()), float(((1 - y) * w).sum())
+    use = pos + neg >= least
+    odds = np.log((pos + 1) / (neg + n_all / p_all)) + np.log(n_all / p_all)
+    weights = np.where(use, np.clip(odds, -3, 3) * (pos + neg) / (pos + neg + 4), 0.0)
+    scale = 1 / np.sqrt(np.maximum(1, bags.sizes))
+    seen = w[bags.owner] > 0
+    bias, square, bias_square = -2.0, np.full(len(weights), 1e-3), 1e-3
+    first = np.searchsorted(bags.owner, np.arange(len(y)))  # first passage of each document
+    has = np.bincount(bags.owner, minlength=len(y)) > 0
+    docs = np.nonzero(has & (w > 0))[0]
+    for _ in range(epochs):
+        s = np.where(seen, bags.scores(weights) * scale, -np.inf)
+        order = np.lexsort((-s, bags.owner))
+        worst = order[first[docs]]
+        p = 1 / (1 + np.exp(-np.clip(s[worst] + bias, -30, 30)))
+        g = w[docs] * (y[docs] - p)
+        push = np.zeros(len(s))
+        push[worst] = g * scale[worst]
+        grad = bags.counts(push) * use - ridge * len(docs) * weights
+        square += grad * grad
+        weights = weights + rate * grad / np.sqrt(square)
+        bias_square += g.sum() ** 2
+        bias += rate * g.sum() / math.sqrt(bias_square)
+    weights = np.where(np.abs(weights) >= 0.02, weights, 0.0)
+    return {bags.names[i]: float(weights[i]) for i in np.nonzero(weights)[0]}
+
+
+def learned_odds(bags: Bags, y: np.ndarray, w: np.ndarray, rounds: int = 3, least: float = 3.0) -> dict[str, float]:
+    """Log odds of words and pairs between passages that look foul and all passages of other documents.
 
-    Labels belong to documents. The first round counts whole documents; later ones take, of a
-    document with objections, the passages that then look worst as the cases, and all passages
-    of documents without objections as the rest.
+    The first round counts whole documents; later ones take, of a document with objections, the
+    passages that then look worst as the cases.
     """
     if not len(bags.owner):
         return {}
     weights = np.zeros(len(bags.names))
     a = 0.5
-    for r in range(rounds):
-        if r == 0:
+    for turn in range(rounds):
+        if turn == 0:
             pos, neg = bags.document_counts(y * w), bags.document_counts((1 - y) * w)
             p_all, n_all = float((y * w).sum()), float(((1 - y) * w).sum())
         else:
@@ -194,15 +232,24 @@ def learned_weights(bags: Bags, y: np.ndarray, w: np.ndarray, rounds: int = 3, l
     return {bags.names[i]: float(weights[i]) for i in np.nonzero(weights)[0]}
 
 
+Learned = dict[str, tuple[float, float]]
+
+
+def learn(bags: Bags, y: np.ndarray, w: np.ndarray) -> Learned:
+    """Both learned word lists as one: mark to (weight, odds)."""
+    weights, odds = learned_weights(bags, y, w), learned_odds(bags, y, w)
+    return {k: (weights.get(k, 0.0), odds.get(k, 0.0)) for k in weights.keys() | odds.keys()}
+
+
 FEATURES = [
     *[f"{k}_{s}" for k in LEXICON for s in ("max", "mean")], "near_second", "second_max", "caps_max", "caps_mean", "bangs_max", "quotes_at_worst",
     "script", "hidden", "spaced", "leet", "repeat", "masked",
-    "learned_1", "learned_2", "learned_3", "learned_gain", "learned_share", "learned_best_mark", "second_at_worst", "insult_at_worst", "report_at_worst",
+    "learned_1", "learned_2", "learned_3", "learned_gain", "learned_share", "learned_best_mark", "odds_1", "odds_2", "odds_3", "odds_gain", "odds_share", "second_at_worst", "insult_at_worst", "report_at_worst",
     "words_at_worst", "passages",
 ]
 
 
-def features(parts: list[tuple[list[str], str]], disguised: dict[str, int], weights: dict[str, float]) -> list[float]:
+def features(parts: list[tuple[list[str], str]], disguised: dict[str, int], learned: Learned) -> list[float]:
     """The values of FEATURES for one document; zeros for one without words."""
     if not parts:
         return [0.0] * len(FEATURES)
@@ -210,19 +257,25 @@ def features(parts: list[tuple[list[str], str]], disguised: dict[str, int], weig
     near = second_max = caps_max = bangs_max = 0.0
     caps = letters = 0
     scored: list[tuple[float, float, int]] = []
+    odds: list[tuple[float, float]] = []
     best_mark = 0.0
     for i, (words, shown) in enumerate(parts):
         n = len(words)
-        total = gain = 0.0
+        total = gain = odd = odd_gain = 0.0
         for f in marks(words):
-            v = weights.get(f)
-            if v is not None:
+            found = learned.get(f)
+            if found is not None:
+                v, o = found
                 total += v
+                odd += o
                 if v > 0:
                     gain += v
                     if v > best_mark:
                         best_mark = v
-        scored.append((total, gain, i))
+                if o > 0:
+                    odd_gain += o
+        odds.append((odd, odd_gain))
+        scored.append((total / math.sqrt(2 * n), gain / math.sqrt(2 * n), i))
         at2 = [j for j, x in enumerate(words) if x in SECOND]
         second_max = max(second_max, len(at2) / n)
         bad = []
@@ -248,14 +301,17 @@ def features(parts: list[tuple[list[str], str]], disguised: dict[str, int], weig
     out += [near, second_max, caps_max, caps / max(1, letters), bangs_max, float(sum(shown.count(q) for q in "\"“”«»„"))]
     out += [1000 * disguised[k] / (50 + total_words) for k in ("script", "hidden", "spaced", "leet", "repeat", "masked")]
     tops = [s for s, _, _ in scored[:3]] + [scored[-1][0]] * 2
-    out += [tops[0], tops[1], tops[2], max(g for _, g, _ in scored), sum(s > 2 for s, _, _ in scored) / len(parts), best_mark]
+    out += [tops[0], tops[1], tops[2], max(g for _, g, _ in scored), sum(s > 1 for s, _, _ in scored) / len(parts), best_mark]
+    by_odds = sorted((o for o, _ in odds), reverse=True)
+    tops = by_odds[:3] + [by_odds[-1]] * 2
+    out += [tops[0], tops[1], tops[2], max(g for _, g in odds), sum(o > 2 for o in by_odds) / len(parts)]
     out += [float(any(x in SECOND for x in words)), kinds["insult"][worst], kinds["report"][worst], float(len(words)), math.log1p(len(parts))]
     return out
 
 
 @dataclass
 class Model:
-    weights: dict[str, float]
+    learned: Learned
     trees: BoostedTrees
     calibration: Isotonic
     n_labelled: int
@@ -266,7 +322,7 @@ class Model:
         for t in texts:
             parts, n = passages(t) if isinstance(t, str) and t else ([], {})
             has.append(bool(parts))
-            rows.append(features(parts, n, self.weights))
+            rows.append(features(parts, n, self.learned))
         if not rows:
             return np.zeros(0)
         return np.where(has, self.calibration(self.trees.margin(np.array(rows))), 0.0)
@@ -284,15 +340,15 @@ def fit(texts: list[str], objecting: list[float], raters: list[int], folds: int
     fold = np.random.default_rng(0).permutation(len(texts)) % folds
     x = np.zeros((len(texts), len(FEATURES)))
     for k in range(folds):
-        weights = learned_weights(bags, y, np.where(fold != k, w, 0.0))
+        learned = learn(bags, y, np.where(fold != k, w, 0.0))
         for i in np.nonzero(fold == k)[0]:
-            x[i] = features(*read[i], weights)
+            x[i] = features(*read[i], learned)
     margin = np.zeros(len(texts))
     for k in range(folds):
         rest = fold != k
         if (~rest).any():
             margin[~rest] = BoostedTrees().fit(x[rest], y[rest], w[rest]).margin(x[~rest])
-    return Model(learned_weights(bags, y, w), BoostedTrees().fit(x, y, w), Isotonic().fit(margin, y, w), len(texts))
+    return Model(learn(bags, y, w), BoostedTrees().fit(x, y, w), Isotonic().fit(margin, y, w), len(texts))
 
 
 def labelled(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
