@@ -68,7 +68,7 @@ def next_ids(df: DataFrame, existing: DataFrame, key: str, prefix: str, width: i
     Numbers are given by range: rows are counted per sorted partition, and each partition starts
     where the ones before it end, so no task orders the whole table.
     """
-    top = existing.where(F.col(key).startswith(prefix)).agg(F.max(F.regexp_extract(key, rf"^{re.escape(prefix)}(\d+)$", 1).cast("long"))).first()[0] or 0
+    top = existing.where(F.col(key).startswith(prefix)).agg(F.max(F.regexp_extract(key, rf"^{re.escape(prefix)}(\d+)$", 1).try_cast("long"))).first()[0] or 0
     scratch = Scratch(df.sparkSession, "ids")
     part = scratch.keep(df.repartitionByRange(*df.columns).sortWithinPartitions(*df.columns).withColumn("_m", F.monotonically_increasing_id()))
     part = part.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND((1 << 33) - 1))

@@ -30,8 +30,8 @@ def keep_latest(stream: DataFrame, key: str, order: str, target: str, checkpoint
     def merge(batch: DataFrame, batch_id: int) -> None:
         new = latest_per(batch, key, order)
         if batch_id:
-            new = latest_per(spark.read.schema(batch.schema).parquet(f"{target}/v={batch_id - 1}").unionByName(new), key, order)
-        new.write.mode("overwrite").parquet(f"{target}/v={batch_id}")
+            new = latest_per(spark.read.schema(batch.schema).parquet(f"{target}/ml_version={batch_id - 1}").unionByName(new), key, order)
+        new.write.mode("overwrite").parquet(f"{target}/ml_version={batch_id}")
 
     w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
@@ -39,9 +39,9 @@ def keep_latest(stream: DataFrame, key: str, order: str, target: str, checkpoint
 
 def read_latest(spark: SparkSession, target: str) -> DataFrame:
     """The newest version that keep_latest has written."""
-    found = spark.read.option("basePath", target).parquet(f"{target}/v=*")
-    newest = found.agg(F.max("v")).first()[0]
-    return found.where(F.col("v") == newest).drop("v")
+    found = spark.read.option("basePath", target).parquet(f"{target}/ml_version=*")
+    newest = found.agg(F.max("ml_version")).first()[0]
+    return found.where(F.col("ml_version") == newest).drop("ml_version")
 
 
 def windowed_counts(stream: DataFrame, time: str, by: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
