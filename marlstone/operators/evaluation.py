@@ -108,18 +108,6 @@ def convergence(findings: DataFrame, least: int = 2) -> DataFrame:
     return findings.where("location is not null").groupBy("location").agg(F.count_distinct("reviewer").alias("reviewers")).where(F.col("reviewers") >= least)
 
 
-def gap_clusters(df: DataFrame, group: str, start: str, end: str, gap: int) -> DataFrame:
-    """group, first, last, n of rows that lie at most ``gap`` apart: sessions of events, clusters of findings.
-
-    A cluster reaches as far as its furthest end so far. The order of one group is read by one task;
-    cut hot groups first, or use the streaming session window for events.
-    """
-    w = Window.partitionBy(group).orderBy(start, end)
-    far = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = df.withColumn("_new", F.when(far.isNull() | (F.col(start) - far > gap), 1).otherwise(0)).withColumn("_c", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(group, "_c").agg(F.min(start).alias("first"), F.max(end).alias("last"), F.count(F.lit(1)).alias("n")).drop("_c")
-
-
 def hard_fail(tickets: DataFrame) -> DataFrame:
     """chapter, n, n_critical, failed."""
     bad = F.sum((F.col("severity") == "critical").cast("int"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.keys import norm_key
+from marlstone.operators.ordered import lag_in_buckets
 from marlstone.plans.catalog import GraphCatalog
 from marlstone.storage import Scratch
 
@@ -48,10 +49,13 @@ def prior_for_status(status: Column) -> Column:
     return out
 
 
-def transitions(df: DataFrame, key: str, status: str, *order: str) -> DataFrame:
-    """key, from_status, to_status, n of every change of status along each key's order."""
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = df.withColumn("from_status", F.lag(status).over(w)).where(F.col("from_status") != F.col(status))
+def transitions(df: DataFrame, key: str, status: str, order: str, width: int = 1_000_000) -> DataFrame:
+    """key, from_status, to_status, n of every change of status along each key's order (a number).
+
+    A key's order is read in buckets of ``width``, see lag_in_buckets.
+    """
+    rows = lag_in_buckets(df, key, order, [status], width)
+    rows = rows.withColumn("from_status", F.col("before")[status]).where(F.col("from_status") != F.col(status))
     return rows.groupBy(key, "from_status", F.col(status).alias("to_status")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
+from marlstone.operators.ordered import lag_in_buckets
 
 #: Words of a profile, and the least words of a text that a verdict is given for.
 TOP_WORDS, LEAST_WORDS = 300, 1000
@@ -164,12 +165,13 @@ def collapse_repeats(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select("doc_id", rows.alias("rows")).select("doc_id", F.size("rows").alias("n_lines"), F.size(kept).alias("n_kept"), F.array_join(kept, "\n").alias("text"))
 
 
-def seams(docs: DataFrame, by: str, *order: str) -> DataFrame:
+def seams(docs: DataFrame, by: str, order: str = "doc_id", width: int = 1_000_000) -> DataFrame:
     """by, doc_id, shared: content words that the first sentence of each document shares with the last of the one before.
 
-    Only the two sentences travel, not the texts.
+    order is a number. Only the two sentences travel, not the texts, and a group's order is read in
+    buckets of ``width``.
     """
-    d = docs.where("text is not null").select(by, "doc_id", *[c for c in order if c not in (by, "doc_id")], T.sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
+    d = docs.where("text is not null").select(by, "doc_id", F.col(order).alias("_o"), T.sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
     d = d.withColumn("first", content_words(F.col("s")[0])).withColumn("last", content_words(F.element_at("s", -1))).drop("s")
-    w = Window.partitionBy(by).orderBy(*order, "doc_id")
-    return d.withColumn("before", F.lag("last").over(w)).where("before is not null").select(by, "doc_id", F.size(F.array_intersect("first", "before")).alias("shared"))
+    j = lag_in_buckets(d, by, "_o", ["last"], width)
+    return j.where("before is not null").select(by, "doc_id", F.size(F.array_intersect("first", "before.last")).alias("shared"))

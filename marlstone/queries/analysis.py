@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.functions.keys import norm_key
-from marlstone.operators import argument, evaluation, induction, ledger, retrieval
+from marlstone.operators import argument, evaluation, induction, ledger, ordered, retrieval
 from marlstone.plans import rules
 from marlstone.plans.catalog import GraphCatalog
 from marlstone.queries.graph import current_claims, current_counter_claims
@@ -56,7 +56,7 @@ def eval_confidence_bands(spark: SparkSession, d: str) -> DataFrame:
 def eval_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Events of a user at most an hour apart, as sessions."""
     e = table(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    return evaluation.gap_clusters(e.withColumn("t2", F.col("t")), "user_id", "t", "t2", 3_600_000_000)
+    return ordered.gap_clusters(e, "user_id", "t", "t", 3_600_000_000, 86_400_000_000)
 
 
 def eval_arm_drift(spark: SparkSession, d: str) -> DataFrame:

@@ -200,3 +200,19 @@ QUERIES: dict[str, Query] = {
     "p6_paths": p6_paths,
     "p7_found": p7_found,
 }
+
+_P4 = """d AS (SELECT snapshot_id, max(delivered_at) AS last_at FROM claim_snapshots GROUP BY 1),
+s AS (SELECT DISTINCT c.snapshot_id, taken_at, lower(trim(claim_id)) AS claim_id, lower(trim(status)) AS status, round(p_posterior, 6) AS p FROM claim_snapshots c JOIN d ON c.snapshot_id = d.snapshot_id AND delivered_at = last_at),
+n AS (SELECT snapshot_id, row_number() OVER (ORDER BY min(taken_at)) AS no FROM s GROUP BY 1), t AS (SELECT s.*, no FROM s JOIN n USING (snapshot_id)),
+j AS (SELECT coalesce(b.no, a.no + 1) AS no, coalesce(b.claim_id, a.claim_id) AS claim_id, a.claim_id AS ca, b.claim_id AS cb, a.status AS sa, b.status AS sb, a.p AS pa, b.p AS pb FROM t a FULL JOIN t b ON b.no = a.no + 1 AND a.claim_id = b.claim_id),
+ch AS (SELECT n.snapshot_id, claim_id, CASE WHEN ca IS NULL THEN 'added' WHEN cb IS NULL THEN 'removed' WHEN sa IS DISTINCT FROM sb OR pa IS DISTINCT FROM pb THEN 'changed' END AS change FROM j JOIN n USING (no) WHERE n.no > 1)"""
+SQL: dict[str, str] = {
+    "p4_found": f"WITH {_P4} SELECT * FROM ch WHERE change IS NOT NULL",
+    "p4_counts": f"WITH {_P4} SELECT snapshot_id, change, count(*) AS n_claims FROM ch WHERE change IS NOT NULL GROUP BY 1, 2",
+    "p6_found": """WITH RECURSIVE n AS (SELECT lower(trim(node_id)) AS node, lower(trim(parent_id)) AS parent FROM thesis_nodes WHERE node_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(trim(node_id)) ORDER BY revised_at DESC) = 1),
+        l AS (SELECT node, CASE WHEN parent IN (SELECT node FROM n) THEN parent END AS parent FROM n),
+        t AS (SELECT node, node AS root, 0 AS depth FROM l WHERE parent IS NULL UNION ALL SELECT l.node, t.root, t.depth + 1 FROM l JOIN t ON l.parent = t.node),
+        c AS (SELECT node, parent FROM l WHERE node NOT IN (SELECT node FROM t)), w AS (SELECT node, parent AS pt FROM c UNION SELECT w.node, c.parent FROM w JOIN c ON c.node = w.pt),
+        o AS (SELECT node FROM w WHERE node = pt), m AS (SELECT node, min(pt) AS root FROM w WHERE pt IN (SELECT node FROM o) GROUP BY node)
+        SELECT node AS node_id, root AS root_id, CAST(depth AS INTEGER) AS depth FROM t UNION ALL SELECT node, root, -1 FROM m""",
+}

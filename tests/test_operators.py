@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from marlstone.operators import argument, belief, design, evaluation, graphs, induction, ledger, retrieval
+from marlstone.operators import argument, belief, design, evaluation, graphs, induction, ledger, ordered, retrieval
 from marlstone.plans.catalog import GraphCatalog
 from marlstone.plans.edn import read_edn
 
@@ -61,6 +61,26 @@ def test_normal_forms(spark):
     assert rows(n["claim-normal-form"], "claim_id", "subject", "object") == {("1", "the hull", "2000 m"), ("2", "mast", "3.5 m"), ("3", "dock", "2001-2005")}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_ordered_operators_match_plain_ones(spark, seed):
+    rng = random.Random(seed)
+    data = sorted({(rng.choice("gh"), rng.randrange(-40, 200)) for _ in range(60)})
+    df = spark.createDataFrame([(g, s, s + rng.randrange(0, 30), str(i)) for i, (g, s) in enumerate(data)], "g string, s int, e int, v string")
+    plain = sorted((tuple(r) for r in df.collect()), key=lambda r: (r[0], r[1]))
+    want = {r[3]: (plain[i - 1][3] if i and plain[i - 1][0] == r[0] else None) for i, r in enumerate(plain)}
+    got = ordered.lag_in_buckets(df, "g", "s", ["v"], 7)
+    assert {r["v"]: r["before"] and r["before"]["v"] for r in got.collect()} == want
+    clusters = []
+    for g, s, e, _ in plain:
+        if clusters and clusters[-1][0] == g and s - clusters[-1][2] <= 3:
+            clusters[-1][2] = max(clusters[-1][2], e)
+            clusters[-1][3] += 1
+        else:
+            clusters.append([g, s, e, 1])
+    assert rows(ordered.gap_clusters(df, "g", "s", "e", 3, 10)) == {tuple(c) for c in clusters}
+    assert ordered.gap_clusters(df.limit(0), "g", "s", "e", 3, 10).count() == 0
+
+
 # belief
 
 
@@ -266,7 +286,7 @@ def test_panels_and_rollups(spark):
     f = spark.createDataFrame([(" A b", "minor", "x", "l1"), ("a B ", "minor", "y", "l1"), (None, "minor", "z", "l2")], "text string, severity string, reviewer string, location string")
     assert rows(evaluation.dedup_findings(f)) == {("a b", "minor", 2, 2)} and rows(evaluation.convergence(f)) == {("l1", 2)}
     g = spark.createDataFrame([("d", 1, 9), ("d", 2, 3), ("d", 13, 14), ("d", 20, 20), ("e", 1, 1)], "g string, s int, e int")
-    assert rows(evaluation.gap_clusters(g, "g", "s", "e", 5)) == {("d", 1, 14, 3), ("d", 20, 20, 1), ("e", 1, 1, 1)}
+    assert rows(ordered.gap_clusters(g, "g", "s", "e", 5, 4)) == {("d", 1, 14, 3), ("d", 20, 20, 1), ("e", 1, 1, 1)}
 
 
 def test_drift_is_the_mean_pairwise_cosine(spark):
