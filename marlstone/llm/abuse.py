@@ -62,11 +62,15 @@ LOOKALIKES = str.maketrans(
 #: Digits and signs written for letters.
 LEET = str.maketrans("43105789@$!|", "aeiostbgasil")
 
-_KINDS = {k: frozenset(v.split()) for k, v in LEXICON.items()}
+_PLACE = {k: i for i, k in enumerate(LEXICON)}
+_KINDS = {w: tuple(i for i, v in enumerate(LEXICON.values()) if w in set(v.split())) for w in sorted(set(" ".join(LEXICON.values()).split()))}
+_BAD = frozenset(_PLACE[k] for k in ("insult", "threat", "profanity"))
+_UPPER = re.compile(r"[A-Z\u00c0-\u00de]")
 _MIXED = re.compile("[^\\W\\d_]*[\u0370-\u03ff\u0400-\u052f][^\\W\\d_]*")
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-*]{1,2}){2,}[^\W\d_](?![^\W_])")
-_LEET = re.compile(r"(?<![\w@$])(?=[\w@$!|]*[a-z])[a-z@$!|]*[0-9@$][a-z0-9@$!|]*[a-z0-9@$](?![\w@$])", re.IGNORECASE)
+_SPACED = re.compile(r"\b[^\W\d_](?:[ .\-*]{1,2}[^\W\d_](?![^\W_])){2,}")
+_LEET = re.compile(r"[A-Za-z@$!|]*[0-9@$][A-Za-z0-9@$!|]*")
+_PLAIN_NUMBER = re.compile(r"\d+[A-Za-z]{0,3}|[A-Za-z]\d+|[@$!|0-9]+")
 _REPEAT = re.compile(r"([^\W\d_])\1{2,}", re.IGNORECASE)
 _MASKED = re.compile(r"(?<![^\W_])([^\W\d_])[*_#•]{1,6}([^\W\d_]*)")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -92,9 +96,10 @@ def undisguise(text: str) -> tuple[str, dict[str, int]]:
         counted("script", _MIXED, lambda m: m[0].translate(LOOKALIKES) if any("a" <= c.lower() <= "z" for c in m[0]) else m[0])
         counted("hidden", _HIDDEN, lambda m: "")
     counted("spaced", _SPACED, lambda m: "".join(c for c in m[0] if c.isalpha()))
-    counted("leet", _LEET, lambda m: m[0] if re.fullmatch(r"[A-Za-z]\d+|\d+[A-Za-z]{1,3}", m[0]) else m[0].lower().translate(LEET))
+    counted("leet", _LEET, lambda m: m[0] if _PLAIN_NUMBER.fullmatch(m[0]) else m[0].lower().translate(LEET))
     counted("repeat", _REPEAT, lambda m: m[1])
-    counted("masked", _MASKED, lambda m: f"{m[1]}mask{m[2]}")
+    if "*" in s or "_" in s or "#" in s or "•" in s:
+        counted("masked", _MASKED, lambda m: f"{m[1]}mask{m[2]}")
     return s, n
 
 
@@ -253,17 +258,19 @@ def features(parts: list[tuple[list[str], str]], disguised: dict[str, int], lear
     """The values of FEATURES for one document; zeros for one without words."""
     if not parts:
         return [0.0] * len(FEATURES)
-    kinds = {k: [] for k in _KINDS}
+    n_kinds = len(LEXICON)
+    densities = np.zeros((len(parts), n_kinds))
     near = second_max = caps_max = bangs_max = 0.0
     caps = letters = 0
     scored: list[tuple[float, float, int]] = []
     odds: list[tuple[float, float]] = []
     best_mark = 0.0
+    look = learned.get
     for i, (words, shown) in enumerate(parts):
         n = len(words)
         total = gain = odd = odd_gain = 0.0
         for f in marks(words):
-            found = learned.get(f)
+            found = look(f)
             if found is not None:
                 v, o = found
                 total += v
@@ -276,17 +283,21 @@ def features(parts: list[tuple[list[str], str]], disguised: dict[str, int], lear
                     odd_gain += o
         odds.append((odd, odd_gain))
         scored.append((total / math.sqrt(2 * n), gain / math.sqrt(2 * n), i))
-        at2 = [j for j, x in enumerate(words) if x in SECOND]
-        second_max = max(second_max, len(at2) / n)
-        bad = []
-        for k, lex in _KINDS.items():
-            hits = [j for j, x in enumerate(words) if x in lex]
-            kinds[k].append(len(hits) / n)
-            if k in ("insult", "threat", "profanity"):
-                bad += hits
-        if at2 and bad:
-            near = max(near, max(1 / (1 + min(abs(a - b) for b in at2)) for a in bad))
-        up, al = sum(c.isupper() for c in shown), sum(c.isalpha() for c in shown)
+        at2, bad = [], []
+        for j, x in enumerate(words):
+            hit = _KINDS.get(x)
+            if hit is not None:
+                for k in hit:
+                    densities[i, k] += 1 / n
+                    if k in _BAD:
+                        bad.append(j)
+            if x in SECOND:
+                at2.append(j)
+        if at2:
+            second_max = max(second_max, len(at2) / n)
+            if bad:
+                near = max(near, 1 / (1 + min(abs(a - b) for a in bad for b in at2)))
+        up, al = len(_UPPER.findall(shown)), sum(map(len, words))
         caps, letters = caps + up, letters + al
         if al >= 8:
             caps_max = max(caps_max, up / al)
@@ -295,9 +306,10 @@ def features(parts: list[tuple[list[str], str]], disguised: dict[str, int], lear
     worst = scored[0][2]
     words, shown = parts[worst]
     total_words = sum(len(p[0]) for p in parts)
+    sizes = np.array([len(p[0]) for p in parts]) / total_words
     out = []
-    for k in LEXICON:
-        out += [max(kinds[k]), sum(d * len(p[0]) for d, p in zip(kinds[k], parts, strict=True)) / total_words]
+    for top, mean in zip(densities.max(axis=0).tolist(), (densities * sizes[:, None]).sum(axis=0).tolist(), strict=True):
+        out += [top, mean]
     out += [near, second_max, caps_max, caps / max(1, letters), bangs_max, float(sum(shown.count(q) for q in "\"“”«»„"))]
     out += [1000 * disguised[k] / (50 + total_words) for k in ("script", "hidden", "spaced", "leet", "repeat", "masked")]
     tops = [s for s, _, _ in scored[:3]] + [scored[-1][0]] * 2
@@ -305,7 +317,7 @@ def features(parts: list[tuple[list[str], str]], disguised: dict[str, int], lear
     by_odds = sorted((o for o, _ in odds), reverse=True)
     tops = by_odds[:3] + [by_odds[-1]] * 2
     out += [tops[0], tops[1], tops[2], max(g for _, g in odds), sum(o > 2 for o in by_odds) / len(parts)]
-    out += [float(any(x in SECOND for x in words)), kinds["insult"][worst], kinds["report"][worst], float(len(words)), math.log1p(len(parts))]
+    out += [float(any(x in SECOND for x in words)), float(densities[worst, _PLACE["insult"]]), float(densities[worst, _PLACE["report"]]), float(len(words)), math.log1p(len(parts))]
     return out
 
 
