@@ -299,3 +299,14 @@ SQL: dict[str, str] = {
     "induce_status": f"""WITH {_CUR}, c AS (SELECT unnest(list_distinct(supports_chapters)) AS rule, status, generated_by_run AS doc FROM cur), s AS (SELECT rule, round(coalesce(avg(CASE WHEN status = 'verified' THEN 1 WHEN status IS NULL THEN NULL ELSE 0 END), 0) * least(count(DISTINCT doc) / 10, 1), 6) AS e FROM c GROUP BY 1)
         SELECT rule, e AS entrenchment, CASE WHEN e >= 0.7 THEN 'active' WHEN e >= 0.4 THEN 'tentative' ELSE 'quarantined' END AS status FROM s""",
 }
+SQL |= {
+    "eval_arm_drift": r"""WITH s AS (SELECT doc_id, doc_kind, unnest(list_transform(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \t\n\r\f]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13) || chr(12))), lambda x: x <> ''),
+        lambda x: lower(regexp_extract(x, '^[^\p{L}\p{N}_]*([\p{L}\p{N}_]+)', 1)))) AS t FROM documents WHERE text IS NOT NULL),
+        c AS (SELECT doc_kind, doc_id, t, count(*) AS n FROM s GROUP BY 1, 2, 3), l AS (SELECT doc_kind, doc_id, sqrt(sum(n * n)) AS len FROM c GROUP BY 1, 2), u AS (SELECT doc_kind, t, sum(n / len) AS s FROM c JOIN l USING (doc_kind, doc_id) GROUP BY 1, 2),
+        q AS (SELECT doc_kind, sum(s * s) AS sq FROM u GROUP BY 1), k AS (SELECT doc_kind, count(*) AS n_docs FROM l GROUP BY 1)
+        SELECT doc_kind, n_docs, round((sq - n_docs) / (n_docs * (n_docs - 1)), 6) AS drift, (sq - n_docs) / (n_docs * (n_docs - 1)) > 0.6 AS flagged FROM q JOIN k USING (doc_kind)""",
+    "rules_verdict": f"""WITH {_CUR}, {_FACTS}, r AS (SELECT subject, min(value_num) FILTER (predicate = 'reported-cases') AS lo, max(value_num) FILTER (predicate = 'reported-cases') AS hi, min(value_num) FILTER (predicate = 'gained') AS gl FROM facts WHERE predicate IN ('reported-cases', 'gained') GROUP BY 1),
+        c AS (SELECT CASE WHEN lo IS NULL THEN 'unknown' WHEN lo <= 0 THEN 'unsat' ELSE 'sat' END AS s FROM r UNION ALL SELECT CASE WHEN lo IS NULL THEN 'unknown' WHEN lo < 0 OR hi >= 990 THEN 'unsat' ELSE 'sat' END FROM r
+        UNION ALL SELECT CASE WHEN gl IS NULL THEN 'unknown' ELSE 'sat' END FROM r UNION ALL SELECT CASE WHEN min(value_num) < 1900 OR max(value_num) > 2030 THEN 'unsat' ELSE 'sat' END FROM facts WHERE predicate = 'year' HAVING count(*) > 0)
+        SELECT count(*) FILTER (s = 'sat') AS n_sat, count(*) FILTER (s = 'unknown') AS n_unknown, count(*) FILTER (s = 'unsat') AS n_unsat, CASE WHEN count(*) FILTER (s = 'unsat') > 0 THEN 'unsat' WHEN count(*) FILTER (s = 'unknown') > 0 THEN 'unknown' ELSE 'sat' END AS status FROM c""",
+}

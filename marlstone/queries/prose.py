@@ -193,3 +193,18 @@ SQL: dict[str, str] = {
         y AS (SELECT doc_id, c, lag(c) OVER (PARTITION BY doc_id ORDER BY i) AS b, i FROM x), z AS (SELECT doc_id, len(list_intersect(c, b)) / nullif(len(list_distinct(list_concat(c, b))), 0) AS j FROM y WHERE i > 1)
         SELECT doc_id, count(*) AS n_pairs, count(*) FILTER (coalesce(j, 0) > 0.05 AND coalesce(j, 0) < 0.60) AS in_corridor FROM z GROUP BY doc_id""",
 }
+
+_PP = rf"""pp AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace({_UNIX}, '(?s)```.*?```', chr(10) || chr(10), 'g'), '\n[ \t\f]*\n'), lambda x: trim(x, {_TRIM})),
+    lambda x: x <> '' AND NOT regexp_matches(x, '^(#{{1,6}} |[-*+] |\d+\. |>|\|)')) AS p FROM documents WHERE text IS NOT NULL)"""
+_OF = r"list_filter(list_transform(string_split(regexp_replace({}, '([.!?])[ \t\n\r\f]+', '\1' || chr(1), 'g'), chr(1)), lambda y: trim(y, " + _TRIM + ")), lambda y: y <> '')"
+_TURN = r"'(?i)\b(but|yet|however|nevertheless|still|even so)\b'"
+SQL |= {
+    "lint_citations": rf"""WITH {_PP}, x AS (SELECT doc_id, unnest(p) AS x, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS paragraph FROM pp)
+        SELECT doc_id, paragraph FROM x WHERE NOT regexp_matches(x, '\[\^[\w-]+\]|\[@[^\]]+\]|\(\w+,? \d{{4}}\)|clm-\d{{4}}-\d{{6}}')""",
+    "lint_paragraph_motion": rf"""WITH {_PP}, x AS (SELECT doc_id, unnest(p) AS p FROM pp WHERE len(p) >= 3), s AS (SELECT doc_id, p, {_OF.format('p')} AS s FROM x),
+        f AS (SELECT doc_id, NOT (len(s) >= 2 AND s[1] LIKE '%?') AND NOT (regexp_matches(p, '(?i)\b(will say|might claim|argues that|insists that|the defender|the critic)\b') AND regexp_matches(p, {_TURN}))
+        AND NOT (regexp_matches(p, '(?i)\b(for example|for instance|consider|imagine|take the case)\b') AND regexp_matches(p, '(?i)\b(therefore|hence|so that|thus)\b'))
+        AND NOT regexp_matches(p, '(?i)\b(as commonly used|as usually understood|in ordinary language|what people mean by)\b') AND NOT regexp_matches(p, {_TURN}) AS flat FROM s)
+        SELECT doc_id, count(*) AS n_paragraphs, round(count(*) FILTER (flat) / count(*), 6) AS flat_share, count(*) FILTER (flat) / count(*) > 0.7 AS is_flat FROM f GROUP BY doc_id""",
+    "lint_concrete_instances": rf"""WITH {_PP} SELECT doc_id, len(p) AS n_paragraphs, len(list_filter(p, lambda x: regexp_matches(x, '\d|"[^"]+"|[a-z,;] [A-Z][a-z]+|\b(for example|for instance|such as)\b'))) AS with_instance FROM pp WHERE len(p) > 0""",
+}
