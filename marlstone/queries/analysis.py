@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.functions.keys import norm_key
-from marlstone.operators import argument, evaluation, induction, ledger, ordered, retrieval
+from marlstone.operators import argument, composition, consistency, evaluation, induction, ledger, lint, ordered, retrieval
 from marlstone.plans import rules
 from marlstone.plans.catalog import GraphCatalog
 from marlstone.queries.graph import current_claims, current_counter_claims
@@ -310,3 +310,47 @@ SQL |= {
         UNION ALL SELECT CASE WHEN gl IS NULL THEN 'unknown' ELSE 'sat' END FROM r UNION ALL SELECT CASE WHEN min(value_num) < 1900 OR max(value_num) > 2030 THEN 'unsat' ELSE 'sat' END FROM facts WHERE predicate = 'year' HAVING count(*) > 0)
         SELECT count(*) FILTER (s = 'sat') AS n_sat, count(*) FILTER (s = 'unknown') AS n_unknown, count(*) FILTER (s = 'unsat') AS n_unsat, CASE WHEN count(*) FILTER (s = 'unsat') > 0 THEN 'unsat' WHEN count(*) FILTER (s = 'unknown') > 0 THEN 'unknown' ELSE 'sat' END AS status FROM c""",
 }
+
+
+def thesis_defects(spark: SparkSession, d: str) -> DataFrame:
+    """Defects of the thesis trees: roots as theses, chapters and evidence of the newest revisions, claims as facts about their type."""
+    raw = table(spark, d, "thesis_nodes").withColumns({"node_id": norm_key(F.col("node_id")), "parent_id": norm_key(F.col("parent_id"))})
+    newest = ledger.latest_per(raw, "node_id", "revised_at")
+    parents = newest.select(F.col("node_id").alias("parent_id"), F.lit(1).alias("known"))
+    nodes = newest.join(parents, "parent_id", "left")
+    subs = nodes.where("known = 1")
+    c = GraphCatalog(spark)
+    c.put("thesis-node", nodes.where("known is null").select(F.col("node_id").alias("id"), "statement"))
+    c.put("sub-argument", subs.select(F.col("node_id").alias("id"), F.col("parent_id").alias("parent"), "statement"))
+    c.put("sub-arg-chapter", subs.where("chapter_id is not null").select(F.col("node_id").alias("id"), F.col("node_id").alias("sub_arg_id"), F.col("chapter_id").alias("chapter")))
+    c.put("sub-arg-evidence", subs.where("required_evidence_kind is not null").select(F.col("node_id").alias("id"), F.col("node_id").alias("sub_arg_id"), F.col("required_evidence_kind").alias("evidence")))
+    claims = current_claims(spark, d)
+    c.put("claim-fact", claims.where("status = 'verified'").select(F.col("claim_id").alias("id"), F.col("claim_type").alias("subject"), F.col("semantic_class").alias("value")))
+    c.put("claim-conflict", claims.select("claim_id", F.explode("conflicts_with").alias("o")).select(F.concat_ws("-", "claim_id", "o").alias("id"), "claim_id", norm_key(F.col("o")).alias("other_id")))
+    return consistency.thesis_defects(c)
+
+
+def concept_first_chapter(spark: SparkSession, d: str) -> DataFrame:
+    """The first chapter of every title-case concept of the documents."""
+    docs = table(spark, d, "documents").where("chapter_id is not null")
+    named = lint.title_case_concepts(docs).join(docs.select("doc_id", F.col("chapter_id").alias("chapter")), "doc_id")
+    return composition.first_introduced(named)
+
+
+def compose_rewrites(spark: SparkSession, d: str) -> DataFrame:
+    """What the last text of a claim loses or adds against its first, by kind."""
+    c = table(spark, d, "claims").where("canonical_text is not null").groupBy(norm_key(F.col("claim_id")).alias("id")).agg(
+        F.min_by("canonical_text", F.struct("ledger_seq", "canonical_text")).alias("before"), F.max_by("canonical_text", F.struct("ledger_seq", "canonical_text")).alias("after"))
+    return composition.argument_losses(c.where("before <> after")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_claims"))
+
+
+QUERIES |= {f.__name__: f for f in (thesis_defects, concept_first_chapter, compose_rewrites)}
+SQL |= {
+    "thesis_defects": f"""WITH {_CUR}, n AS (SELECT lower(trim(node_id)) AS node, lower(trim(parent_id)) AS parent, chapter_id, required_evidence_kind AS ev FROM thesis_nodes WHERE node_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(trim(node_id)) ORDER BY revised_at DESC) = 1),
+        s AS (SELECT * FROM n WHERE parent IN (SELECT node FROM n)), f AS (SELECT claim_type AS s, semantic_class AS v, min(claim_id) AS c FROM cur WHERE status = 'verified' AND claim_type IS NOT NULL AND semantic_class IS NOT NULL GROUP BY 1, 2),
+        k AS (SELECT DISTINCT least(claim_id, o) AS a, greatest(claim_id, o) AS b FROM (SELECT claim_id, lower(trim(x)) AS o FROM (SELECT claim_id, unnest(conflicts_with) AS x FROM cur) WHERE x IS NOT NULL) WHERE claim_id <> o)
+        SELECT 'no-chapter' AS kind, node AS id, '' AS detail FROM s WHERE chapter_id IS NULL UNION ALL SELECT 'missing-evidence', node, ev FROM s WHERE ev IS NOT NULL AND ev NOT IN (SELECT s FROM f)
+        UNION ALL SELECT 'contradiction', x.c, x.s || ' ' || x.v || ' against ' || y.v || ' ' || y.c FROM f x JOIN f y ON x.s = y.s AND x.v < y.v UNION ALL SELECT 'declared-conflict', a, b FROM k""",
+    "concept_first_chapter": r"""WITH r AS (SELECT chapter_id, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\b((?:[A-Z][a-z]+)(?: [A-Z][a-z]+)+)\b', 1), lambda x: regexp_replace(x, '^(The|A|An) ', '')), lambda x: contains(x, ' ') AND x <> 'New York'))) AS concept
+        FROM documents WHERE text IS NOT NULL AND chapter_id IS NOT NULL) SELECT lower(concept) AS concept, min(chapter_id) AS first_chapter, count(DISTINCT chapter_id) AS n_chapters FROM r GROUP BY 1""",
+}
