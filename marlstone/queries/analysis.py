@@ -252,8 +252,8 @@ SQL: dict[str, str] = {
         SELECT rater, n, wins, round(wins / n, 6) AS rate, round({_WIL.format('-')}, 6) AS low, round({_WIL.format('+')}, 6) AS high FROM w""",
     "eval_attribution": """WITH l AS (SELECT DISTINCT doc_id, rater, label FROM content_labels WHERE label <> 'none'), p AS (SELECT doc_id, label FROM l WHERE rater = 'r1'), g AS (SELECT doc_id, label FROM l WHERE rater = 'r2'),
         b AS (SELECT coalesce(p.doc_id, g.doc_id) AS i, count(*) FILTER (p.doc_id IS NOT NULL AND g.doc_id IS NOT NULL) AS tp, count(p.doc_id) AS np, count(g.doc_id) AS ng FROM p FULL JOIN g ON p.doc_id = g.doc_id AND p.label = g.label GROUP BY 1)
-        SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(np) AS BIGINT) AS n_predicted, CAST(sum(ng) AS BIGINT) AS n_gold, round(sum(tp) / sum(np), 6) AS micro_precision, round(sum(tp) / sum(ng), 6) AS micro_recall,
-        round(avg(tp / nullif(np, 0)), 6) AS macro_precision, round(avg(tp / nullif(ng, 0)), 6) AS macro_recall, 'scored' AS status FROM b""",
+        SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(np) AS BIGINT) AS n_predicted, CAST(sum(ng) AS BIGINT) AS n_gold, round(sum(tp) / nullif(sum(np), 0), 6) AS micro_precision, round(sum(tp) / nullif(sum(ng), 0), 6) AS micro_recall,
+        round(avg(tp / nullif(np, 0)), 6) AS macro_precision, round(avg(tp / nullif(ng, 0)), 6) AS macro_recall, CASE WHEN sum(ng) > 0 THEN 'scored' ELSE 'unscored' END AS status FROM b""",
     "eval_factuality": f"""WITH {_CUR}, {_CC} SELECT CASE WHEN target_claim_id IS NULL OR target_claim_id = '' THEN 'novel' WHEN cc.status = 'dismissed' THEN 'unsupported' WHEN cur.status = 'disputed' THEN 'disputed' ELSE 'verified' END AS part, count(*) AS n
         FROM cc LEFT JOIN cur ON cur.claim_id = target_claim_id GROUP BY 1""",
     "eval_confidence_bands": f"WITH {_CUR} SELECT claim_type, count(*) AS n, round(median(confidence), 4) AS median, round(avg(confidence), 4) AS mean FROM cur WHERE confidence IS NOT NULL GROUP BY 1",
