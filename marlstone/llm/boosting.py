@@ -32,42 +32,42 @@ class BoostedTrees:
         b = self._binned(x) if n else np.zeros((0, m), dtype=np.int16)
         f = np.full(n, self.base)
         inner, leaves = 2**self.depth - 1, 2**self.depth
+        bins = max([len(c) for c in self.cuts], default=0) + 1
+        cell = (b + np.arange(m, dtype=np.int64) * bins).ravel()  # feature and bin of every value, row by row
+        last = np.array([len(c) for c in self.cuts])
+        open_cut = np.arange(bins)[None, :] < last[:, None]  # bins that a feature can be cut after
         for _ in range(self.rounds if n else 0):
             p = 1 / (1 + np.exp(-f))
             g, h = w * (y - p), w * np.maximum(p * (1 - p), 1e-6)
+            gs, hs = np.repeat(g, m), np.repeat(h, m)
             feature, cut = np.full(inner, -1), np.zeros(inner)
             node = np.zeros(n, dtype=np.int64)
             for level in range(self.depth):
-                first = 2**level - 1
-                for k in range(first, 2 * first + 1):
-                    rows = np.nonzero(node == k)[0]
-                    best = self._split(b[rows], g[rows], h[rows]) if len(rows) else None
-                    right = np.zeros(len(rows), dtype=bool)
-                    if best:
-                        feature[k], cut[k] = best[0], self.cuts[best[0]][best[1]]
-                        right = b[rows, best[0]] > best[1]
-                    node[rows] = 2 * k + 1 + right
+                first, width = 2**level - 1, 2**level
+                at = np.repeat((node - first) * (m * bins), m) + cell
+                size = width * m * bins
+                sums = [np.cumsum(np.bincount(at, x, size).reshape(width, m, bins), axis=2) for x in (gs, hs, None)]
+                choice, place = self._cuts_of(*sums, open_cut)
+                for k in range(width):
+                    if choice[k] >= 0:
+                        feature[first + k], cut[first + k] = choice[k], self.cuts[choice[k]][place[k]]
+                own, put = choice[node - first], place[node - first]
+                right = (own >= 0) & (b[np.arange(n), np.maximum(own, 0)] > put)
+                node = 2 * node + 1 + right
             leaf = node - inner
             value = self.rate * np.bincount(leaf, g, leaves) / (np.bincount(leaf, h, leaves) + self.ridge)
             f += value[leaf]
             self.trees.append((feature, cut, value))
         return self
 
-    def _split(self, b: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, int] | None:
-        total_g, total_h = g.sum(), h.sum()
-        best, found = 1e-6, None
-        for j, cuts in enumerate(self.cuts):
-            if not len(cuts):
-                continue
-            gl = np.cumsum(np.bincount(b[:, j], g, len(cuts) + 1))[:-1]
-            hl = np.cumsum(np.bincount(b[:, j], h, len(cuts) + 1))[:-1]
-            nl = np.cumsum(np.bincount(b[:, j], minlength=len(cuts) + 1))[:-1]
-            gain = gl**2 / (hl + self.ridge) + (total_g - gl) ** 2 / (total_h - hl + self.ridge) - total_g**2 / (total_h + self.ridge)
-            gain[(nl < self.least) | (len(b) - nl < self.least)] = -1
-            i = int(gain.argmax())
-            if gain[i] > best:
-                best, found = gain[i], (j, i)
-        return found
+    def _cuts_of(self, g: np.ndarray, h: np.ndarray, count: np.ndarray, open_cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best feature and bin to cut each node after, -1 where none gains; running sums by node, feature and bin."""
+        tg, th, tn = g[:, :1, -1:], h[:, :1, -1:], count[:, :1, -1:]
+        gain = g**2 / (h + self.ridge) + (tg - g) ** 2 / (th - h + self.ridge) - tg**2 / (th + self.ridge)
+        gain = np.where(open_cut[None] & (count >= self.least) & (tn - count >= self.least), gain, -1.0).reshape(len(g), -1)
+        best = gain.argmax(axis=1)
+        found = gain[np.arange(len(g)), best] > 1e-6
+        return np.where(found, best // g.shape[2], -1), best % g.shape[2]
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         f = np.full(len(x), self.base)
