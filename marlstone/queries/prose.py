@@ -62,6 +62,24 @@ def style_top_deviations(spark: SparkSession, d: str) -> DataFrame:
     return style.contributions(docs, profile, 3).select("doc_id", "word", F.round("z", 6).alias("z"), "rank")
 
 
+def style_profile_full(spark: SparkSession, d: str) -> DataFrame:
+    """The profile of the operator's own size; the queries without _full have 50 words and 3 deviations, as their SQL states."""
+    p = style.build_profile(_docs(spark, d))
+    return p.select("word", "rank", F.round("mean", 9).alias("mean"), F.round("stdev", 9).alias("stdev"))
+
+
+def style_delta_full(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    profile = style.build_profile(docs.where("doc_kind = 'chapter_draft'"))
+    return style.burrows_delta(docs, profile).select("doc_id", "words", F.round("delta", 6).alias("delta"), F.round("l1", 8).alias("l1"))
+
+
+def style_top_deviations_full(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    profile = style.build_profile(docs.where("doc_kind = 'chapter_draft'"))
+    return style.contributions(docs, profile).select("doc_id", "word", F.round("z", 6).alias("z"), "rank")
+
+
 def style_length_bands(spark: SparkSession, d: str) -> DataFrame:
     """Nearest-rank percentiles of the sentence lengths of each source."""
     s = _docs(spark, d).where("text is not null").select("source", F.explode(F.transform(T.sentences(F.col("text")), T.space_words)).alias("n"))
@@ -118,6 +136,9 @@ QUERIES: dict[str, Query] = {
     "style_profile": style_profile,
     "style_delta": style_delta,
     "style_top_deviations": style_top_deviations,
+    "style_profile_full": style_profile_full,
+    "style_delta_full": style_delta_full,
+    "style_top_deviations_full": style_top_deviations_full,
     "style_length_bands": style_length_bands,
     "style_shared_ngrams": style_shared_ngrams,
     "style_first_words": style_first_words,
