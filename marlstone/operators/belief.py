@@ -127,14 +127,21 @@ def effective_confidence(claims: DataFrame, edges: DataFrame, spans: DataFrame,
         F.round(F.coalesce("freshness_factor", F.lit(1.0)), 12).alias("freshness_factor"), F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))
 
 
-def why_provenance(claims: DataFrame, spans: DataFrame, k: int = 5) -> DataFrame:
-    """claim_id, witnesses (the first k of doc_id|locator), truncated, for load-bearing claims only.
+def why_provenance(claims: DataFrame, spans: DataFrame, k: int | None = 5, parents: DataFrame | None = None) -> DataFrame:
+    """claim_id, witnesses (the first k of parent claims, if given as parent, claim_id, then doc_id|locator), truncated, for load-bearing claims only.
 
-    The first k are cut by rank before they are gathered, so no list outgrows k.
+    The first k are cut by rank before they are gathered, so no list outgrows k; with None all are listed, which is
+    no more than the records of a claim hold. Parents read ``parent-claim:id``.
     """
     mine = claims.where("load_bearing").select("claim_id")
-    rows = spans.join(mine, "claim_id", "left_semi").select("claim_id", F.concat_ws("|", "doc_id", "locator_text").alias("w")).distinct()
-    rank = F.row_number().over(Window.partitionBy("claim_id").orderBy("w"))
-    rows = rows.withColumn("r", rank).where(F.col("r") <= k + 1)
-    return mine.join(rows.groupBy("claim_id").agg(F.sort_array(F.collect_list(F.when(F.col("r") <= k, F.col("w")))).alias("witnesses"), (F.max("r") > k).alias("truncated")), "claim_id", "left").select(
+    rows = spans.select("claim_id", F.lit(1).alias("kind"), F.concat_ws("|", "doc_id", "locator_text").alias("w"))
+    if parents is not None:
+        rows = rows.unionByName(parents.where("parent is not null").select("claim_id", F.lit(0).alias("kind"), F.concat_ws(":", F.lit("parent-claim"), "parent").alias("w")))
+    rows = rows.join(mine, "claim_id", "left_semi").distinct()
+    rank = F.row_number().over(Window.partitionBy("claim_id").orderBy("kind", "w"))
+    rows = rows.withColumn("r", rank)
+    rows = rows if k is None else rows.where(F.col("r") <= k + 1)
+    kept = F.lit(True) if k is None else F.col("r") <= k
+    listed = F.transform(F.sort_array(F.collect_list(F.when(kept, F.struct("r", "w")))), lambda x: x["w"])
+    return mine.join(rows.groupBy("claim_id").agg(listed.alias("witnesses"), F.max(~kept).alias("truncated")), "claim_id", "left").select(
         "claim_id", F.coalesce("witnesses", F.array().cast("array<string>")).alias("witnesses"), F.coalesce("truncated", F.lit(False)).alias("truncated"))

@@ -6,6 +6,7 @@ import statistics
 import pytest
 
 import __spark_entry__ as entry
+from marlstone.operators import belief
 
 
 def test_style_over_the_whole_profile(spark, tmp_path):
@@ -37,3 +38,22 @@ def test_style_over_the_whole_profile(spark, tmp_path):
         assert [r[0] for r in got] == list(range(1, 16))
         assert [abs(r[2]) for r in got] == pytest.approx(sorted(map(abs, z[k].values()), reverse=True)[:15], abs=2e-6)
         assert all(r[2] == pytest.approx(z[k][r[1]], abs=2e-6) for r in got)
+
+
+def test_all_witnesses_with_parents_first(spark):
+    c = spark.createDataFrame([("a", True), ("b", False), ("c", True), ("d", True)], "claim_id string, load_bearing boolean")
+    s = spark.createDataFrame([("a", "d", str(i)) for i in range(8)] + [("b", "d", "x"), ("c", "d", "0")], "claim_id string, doc_id string, locator_text string")
+    e = spark.createDataFrame([("z", "a"), ("p", "a"), ("p", "a"), (None, "a"), ("q", "b")], "parent string, claim_id string")
+    got = lambda *k: {r["claim_id"]: (r["witnesses"], r["truncated"]) for r in belief.why_provenance(c, s, *k, parents=e).collect()}
+    every = ["parent-claim:p", "parent-claim:z"] + [f"d|{i}" for i in range(8)]
+    assert got(None) == {"a": (every, False), "c": (["d|0"], False), "d": ([], False)}
+    assert got(9)["a"] == (every[:9], True) and got(10)["a"] == (every, False)
+
+
+def test_belief_witnesses_full(spark, data):
+    cut = {r["claim_id"]: r for r in entry.queries()["belief_witnesses"](spark, data).collect()}
+    whole = {r["claim_id"]: r for r in entry.queries()["belief_witnesses_full"](spark, data).collect()}
+    assert whole.keys() == cut.keys() and not any(r["truncated"] for r in whole.values())
+    sources = {k: [w for w in r["witnesses"] if not w.startswith("parent-claim:")] for k, r in whole.items()}
+    assert all(" & ".join(w[:2]) == cut[k]["witnesses"] and (len(w) > 2) == cut[k]["truncated"] for k, w in sources.items())
+    assert any(len(w) > 2 for w in sources.values()) and any(len(r["witnesses"]) > len(sources[k]) for k, r in whole.items())
