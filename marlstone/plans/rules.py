@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.plans.edn import Keyword, List, Symbol, read_all, read_edn
@@ -221,33 +221,60 @@ def _names(x: object) -> set[str]:
     return {x.name} if isinstance(x, Symbol) else set()
 
 
+#: Most witnesses that a check lists; constraint_witnesses has them all.
+LISTED = 20
+
+
+def _scoped(facts: DataFrame, constraints: list[Constraint]) -> list[tuple[list[Constraint], DataFrame]]:
+    """The constraints of each scope that has any, and the facts they read."""
+    out = []
+    for scope in ("subject", "corpus"):
+        if mine := [c for c in constraints if c.scope == scope]:
+            rows = facts.where(F.col("predicate").isin(sorted({p for c in mine for p in c.predicates})))
+            out.append((mine, rows.withColumn("subject", F.col("subject") if scope == "subject" else F.lit("*"))))
+    return out
+
+
+def constraint_witnesses(facts: DataFrame, constraints: list[Constraint]) -> DataFrame:
+    """constraint, subject, claim_id: every claim that a constraint reads of a subject (``*`` in the corpus scope), once."""
+    out = []
+    for mine, rows in _scoped(facts, constraints):
+        used = facts.sparkSession.createDataFrame([(c.name, p) for c in mine for p in c.predicates], "constraint string, predicate string")
+        out.append(rows.join(used, "predicate").where("claim_id is not null").select("constraint", "subject", "claim_id").distinct())
+    return reduce(DataFrame.unionByName, out)
+
+
+def _with_subject(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left with the columns of its one row, if any, in right: the same constraint and subject, which may be null."""
+    r = right.withColumnsRenamed({"constraint": "_c", "subject": "_s"})
+    return left.join(r, F.col("constraint").eqNullSafe(F.col("_c")) & F.col("subject").eqNullSafe(F.col("_s")), "left").drop("_c", "_s")
+
+
 def check_constraints(facts: DataFrame, constraints: list[Constraint]) -> DataFrame:
-    """constraint, severity, subject, status (sat, unsat, unknown), witnesses: each constraint on each subject's facts.
+    """constraint, severity, subject, status (sat, unsat, unknown), witnesses, n_witnesses: each constraint on each subject's facts.
 
     facts: claim_id, subject, predicate, value_num. A subject that states different values of one
     predicate is checked on its least and its greatest; unsat if either fails, unknown if a value is
-    missing. witnesses are up to 20 of the claims concerned. The corpus scope takes all facts as one
-    subject, named ``*``.
+    missing. witnesses are the first LISTED of the n_witnesses claims concerned, cut by rank before they are
+    gathered. The corpus scope takes all facts as one subject, named ``*``.
     """
     out = []
-    for scope in ("subject", "corpus"):
-        mine = [c for c in constraints if c.scope == scope]
-        if not mine:
-            continue
+    for mine, rows in _scoped(facts, constraints):
         names = sorted({p for c in mine for p in c.predicates})
-        rows = facts.where(F.col("predicate").isin(names)).withColumn("subject", F.col("subject") if scope == "subject" else F.lit("*"))
         ends = rows.groupBy("subject").agg(
             *[F.min(F.when(F.col("predicate") == p, F.col("value_num"))).alias(f"lo_{p}") for p in names], *[F.max(F.when(F.col("predicate") == p, F.col("value_num"))).alias(f"hi_{p}") for p in names])
         both = ends.select("subject", F.explode(F.array(*[F.struct(*[F.col(f"`{e}_{p}`").alias(p) for p in names]) for e in ("lo", "hi")])).alias("v")).select("subject", "v.*")
         checks = F.array(*[F.struct(F.lit(c.name).alias("constraint"), F.lit(c.severity).alias("severity"), compile_assert(c.form).alias("ok")) for c in mine])
         result = both.select("subject", F.explode(checks).alias("k")).groupBy("subject", "k.constraint", "k.severity").agg(
             F.max(F.when(~F.col("k.ok"), 2).when(F.col("k.ok").isNull(), 1).otherwise(0)).alias("code"))
-        used = facts.sparkSession.createDataFrame([(c.name, p) for c in mine for p in c.predicates], "constraint string, predicate string")
-        ids = rows.join(used, "predicate").groupBy("subject", "constraint").agg(F.slice(F.sort_array(F.collect_set("claim_id")), 1, 20).alias("witnesses")) if scope == "subject" else None
         status = F.element_at(F.array(F.lit("sat"), F.lit("unknown"), F.lit("unsat")), F.col("code") + 1)
-        r = result.join(ids, ["subject", "constraint"], "left") if ids is not None else result.withColumn("witnesses", F.array().cast("array<string>"))
-        out.append(r.select("constraint", "severity", "subject", status.alias("status"), "witnesses"))
-    return reduce(DataFrame.unionByName, out)
+        out.append(result.select("constraint", "severity", "subject", status.alias("status")))
+    every = constraint_witnesses(facts, constraints)
+    first = every.withColumn("r", F.row_number().over(Window.partitionBy("constraint", "subject").orderBy("claim_id"))).where(F.col("r") <= LISTED)
+    listed = first.groupBy("constraint", "subject").agg(F.sort_array(F.collect_list("claim_id")).alias("witnesses"))
+    counted = every.groupBy("constraint", "subject").agg(F.count(F.lit(1)).alias("n_witnesses"))
+    r = _with_subject(_with_subject(reduce(DataFrame.unionByName, out), listed), counted)
+    return r.withColumns({"witnesses": F.coalesce("witnesses", F.array().cast("array<string>")), "n_witnesses": F.coalesce("n_witnesses", F.lit(0))})
 
 
 def verdict(checks: DataFrame) -> DataFrame:
@@ -256,12 +283,21 @@ def verdict(checks: DataFrame) -> DataFrame:
     return checks.agg(n("sat"), n("unknown"), n("unsat")).withColumn("status", F.when(F.col("n_unsat") > 0, "unsat").when(F.col("n_unknown") > 0, "unknown").otherwise("sat"))
 
 
-def defect_confidence(defects: DataFrame, claims: DataFrame, weak: float = 0.5) -> DataFrame:
-    """constraint, subject, confidence (least of its witnesses'), severity (one step lower if all witnesses are below weak)."""
-    j = defects.where("status = 'unsat'").select("constraint", "subject", "severity", F.explode("witnesses").alias("claim_id")).join(claims.select("claim_id", "confidence"), "claim_id", "left")
-    s = j.groupBy("constraint", "subject", "severity").agg(F.min(F.coalesce("confidence", F.lit(1.0))).alias("confidence"), F.max(F.coalesce("confidence", F.lit(1.0))).alias("best"))
+def defect_confidence(defects: DataFrame, claims: DataFrame, weak: float = 0.5, witnesses: DataFrame | None = None) -> DataFrame:
+    """constraint, subject, confidence (least of its witnesses'), severity (one step lower if all witnesses are below weak).
+
+    witnesses: constraint_witnesses. Without them the defects' lists are read, and a list that is not whole is an error.
+    A defect without witnesses has confidence 1.
+    """
+    unsat = defects.where("status = 'unsat'")
+    if witnesses is None:
+        whole = F.when(F.col("n_witnesses") > F.size("witnesses"), F.raise_error(F.lit("a list of witnesses is cut; pass constraint_witnesses"))).otherwise(F.col("witnesses"))
+        witnesses = unsat.select("constraint", "subject", F.explode(whole).alias("claim_id"))
+    conf = F.coalesce("confidence", F.lit(1.0))
+    ends = witnesses.join(claims.select("claim_id", "confidence"), "claim_id", "left").groupBy("constraint", "subject").agg(F.min(conf).alias("least"), F.max(conf).alias("best"))
+    s = _with_subject(unsat.select("constraint", "subject", "severity"), ends)
     lower = F.when(F.col("severity") == "critical", "important").when(F.col("severity") == "important", "minor").otherwise(F.col("severity"))
-    return s.select("constraint", "subject", "confidence", F.when(F.col("best") < weak, lower).otherwise(F.col("severity")).alias("severity"))
+    return s.select("constraint", "subject", F.coalesce("least", F.lit(1.0)).alias("confidence"), F.when(F.col("best") < weak, lower).otherwise(F.col("severity")).alias("severity"))
 
 
 def verdict_confidence(defects: DataFrame) -> DataFrame:

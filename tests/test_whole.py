@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from marlstone.operators import belief
+from marlstone.plans import rules
 
 
 def test_style_over_the_whole_profile(spark, tmp_path):
@@ -57,3 +58,19 @@ def test_belief_witnesses_full(spark, data):
     sources = {k: [w for w in r["witnesses"] if not w.startswith("parent-claim:")] for k, r in whole.items()}
     assert all(" & ".join(w[:2]) == cut[k]["witnesses"] and (len(w) > 2) == cut[k]["truncated"] for k, w in sources.items())
     assert any(len(w) > 2 for w in sources.values()) and any(len(r["witnesses"]) > len(sources[k]) for k, r in whole.items())
+
+
+def test_defects_count_every_witness(spark):
+    facts = spark.createDataFrame([(f"{i:02d}", "s", "a", -1.0) for i in range(30)] + [("40", "t", "a", 1.0), ("41", None, "a", -1.0)], "claim_id string, subject string, predicate string, value_num double")
+    cs = rules.parse_constraints("(defconstraint :pos :assert (> a 0)) (defconstraint :all :scope :corpus :assert (> a 0))")
+    checks, every = rules.check_constraints(facts, cs), rules.constraint_witnesses(facts, cs)
+    ids = [f"{i:02d}" for i in range(30)]
+    got = {(r["constraint"], r["subject"]): (r["witnesses"], r["n_witnesses"]) for r in checks.collect()}
+    assert got == {("pos", "s"): (ids[:20], 30), ("pos", "t"): (["40"], 1), ("pos", None): (["41"], 1), ("all", "*"): (ids[:20], 32)}
+    assert every.count() == 32 + 32
+    claims = spark.createDataFrame([(i, 0.1 if i == "25" else 0.9 if i == "26" else 0.4) for i in [*ids, "40", "41"]], "claim_id string, confidence double")
+    d = rules.defect_confidence(checks, claims, witnesses=every)
+    assert {(r["constraint"], r["subject"], r["confidence"], r["severity"]) for r in d.collect()} == {("pos", "s", 0.1, "critical"), ("all", "*", 0.1, "critical"), ("pos", None, 0.4, "important")}
+    assert rules.verdict_confidence(d).first()[0] == pytest.approx((0.1 * 0.1 * 0.4) ** (1 / 3))
+    with pytest.raises(Exception, match="cut"):
+        rules.defect_confidence(checks, claims).collect()
