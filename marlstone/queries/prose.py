@@ -124,6 +124,7 @@ QUERIES: dict[str, Query] = {
     "lint_footnotes": _over(lint.footnotes),
     "lint_reading_grades": _over(lint.reading_grades),
     "lint_abstraction": _over(lint.abstraction),
+    "lint_analogy_absent": _over(lint.analogy_absent),
     "lint_signal_density": _over(lint.signal_density),
     "lint_concrete_instances": _over(lint.concrete_instances),
     "lint_parallel_lists": _over(lint.parallel_lists),

@@ -6,7 +6,7 @@ import statistics
 import pytest
 
 import __spark_entry__ as entry
-from marlstone.operators import belief
+from marlstone.operators import belief, lint
 from marlstone.plans import rules
 
 
@@ -74,3 +74,23 @@ def test_defects_count_every_witness(spark):
     assert rules.verdict_confidence(d).first()[0] == pytest.approx((0.1 * 0.1 * 0.4) ** (1 / 3))
     with pytest.raises(Exception, match="cut"):
         rules.defect_confidence(checks, claims).collect()
+
+
+def test_drumbeats_are_exempt(spark):
+    beat = "The cat sat. The old dog ran far away. The bird sang a song. The rain fell on green hills. "
+    texts = {
+        "beat": beat + "Then all was still.", "not capped": beat.strip(), "content word": beat.replace("The", "Cats") + "Then all was still.",
+        "one length": "The cat sat. The dog ran. The bird sang. The rain fell. Then all was still.",
+        "same words": "The cat sat down. The cat sat down here. The cat sat down. The cat sat down here. Then all was still.",
+        "two runs": beat + "Then all. " + beat.strip(), "short": "The cat. The dog.", "none": "",
+    }
+    d = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    got = {r["doc_id"]: (r["repeated_opening"], r["parallel_list"]) for r in lint.rhythm(d).collect()}
+    assert got == {"beat": (0, 1), "not capped": (1, 0), "content word": (1, 0), "one length": (1, 0), "same words": (1, 0), "two runs": (1, 1), "short": (0, 0), "none": (0, 0)}
+
+
+def test_analogy_is_asked_from_thirty_words(spark):
+    long = "word " * 30
+    blocks = [long, "word " * 29, long + "as\nif", long + "likely", "# " + long, "- " + long, "    " + long, "```\n" + long, "> " + long]
+    d = spark.createDataFrame([("a", "\n\n\n".join(blocks)), ("b", None)], "doc_id string, text string")
+    assert sorted((r["doc_id"], r["paragraph"]) for r in lint.analogy_absent(d).collect()) == [("a", 0), ("a", 3), ("a", 8)]
