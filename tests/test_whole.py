@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from marlstone.operators import belief, lint
 from marlstone.plans import rules
+from marlstone.queries import graph
 
 
 def test_style_over_the_whole_profile(spark, tmp_path):
@@ -94,3 +95,11 @@ def test_analogy_is_asked_from_thirty_words(spark):
     blocks = [long, "word " * 29, long + "as\nif", long + "likely", "# " + long, "- " + long, "    " + long, "```\n" + long, "> " + long]
     d = spark.createDataFrame([("a", "\n\n\n".join(blocks)), ("b", None)], "doc_id string, text string")
     assert sorted((r["doc_id"], r["paragraph"]) for r in lint.analogy_absent(d).collect()) == [("a", 0), ("a", 3), ("a", 8)]
+
+
+def test_competency_report_of_all_eight(spark, data):
+    run = lambda name: {tuple(r) for r in entry.queries()[name](spark, data).select("query", "class", "severity", "n_rows").collect()}
+    whole, cut = run("kg_competency_report_full"), run("kg_competency_report")
+    assert {r[0] for r in whole} == set(graph.COMPETENCY) and len(whole) == 8
+    _, kind, severity = graph.COMPETENCY["stale_after_source_refresh"]
+    assert whole - cut == {("stale_after_source_refresh", kind, severity, entry.queries()["kg_stale_after_source_refresh"](spark, data).count())} and cut < whole
