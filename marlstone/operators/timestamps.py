@@ -284,7 +284,7 @@ def to_utc_micros(texts: pd.Series, zones: pd.Series, day_first: pd.Series, abbr
     for i, t in enumerate(texts.tolist()):
         t = t.translate(_SPELL).strip() if isinstance(t, str) else ""
         clean.append(t)
-        if t and len(t) <= 80:
+        if t:
             groups.setdefault(shape_mask(t), []).append(i)
     every = np.array(clean, dtype=object)
     zone = np.array([z if isinstance(z, str) and z else "UTC" for z in zones.tolist()], dtype=object)

@@ -3,10 +3,11 @@
 import collections
 import statistics
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from marlstone.operators import belief, lint
+from marlstone.operators import belief, lint, timestamps
 from marlstone.plans import rules
 from marlstone.queries import graph
 
@@ -103,3 +104,10 @@ def test_competency_report_of_all_eight(spark, data):
     assert {r[0] for r in whole} == set(graph.COMPETENCY) and len(whole) == 8
     _, kind, severity = graph.COMPETENCY["stale_after_source_refresh"]
     assert whole - cut == {("stale_after_source_refresh", kind, severity, entry.queries()["kg_stale_after_source_refresh"](spark, data).count())} and cut < whole
+
+
+def test_texts_of_any_length_name_instants():
+    texts = ["2024-01-02T03:04:05.1234567Z", "2024-01-02T03:04:05." + "1234567" * 20 + "Z", "2024-01-02" + " " * 90 + "03:04:05", "1704164645." + "1" * 90, "x" * 5000, "2024-01-02" + " " * 5000 + "x"]
+    out = timestamps.to_utc_micros(pd.Series(texts), pd.Series([None] * 6), pd.Series([None] * 6), {}).tolist()
+    t = 1704164645_000000
+    assert out == [t + 123456, t + 123456, t, t + 111111, timestamps.NONE, timestamps.NONE]
