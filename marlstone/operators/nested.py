@@ -99,7 +99,7 @@ def claim_children(value: object) -> Iterator[tuple[str | None, str, int, str]]:
 
     A claim is an object with a text ``claim_id`` of its own. A span is an object with its own
     text ``locator_text`` below the claim's ``source_spans``; its doc_id is its own or that of the
-    nearest object around it inside the claim, or empty. A chapter is each id in
+    nearest object around it, up to the top of the payload, or empty. A chapter is each id in
     ``supports_chapters``: a text (a list in one text is split at commas, semicolons, bars and
     blanks) or the ``chapter_id`` of an object.
     """

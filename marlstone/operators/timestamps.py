@@ -31,9 +31,10 @@ MONTH_NAMES = {m: i + 1 for i, m in enumerate(
 DAY_NAMES = {"mon", "tue", "wed", "thu", "fri", "sat", "sun", "tues", "wednes", "thur", "thurs", "satur"} | {
     "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"}
 
-#: Bare numbers count from 1970 in the unit that lands in this window.
-EPOCH_FROM = int(datetime(2023, 1, 1, tzinfo=timezone.utc).timestamp())
-EPOCH_TO = int(datetime(2028, 1, 1, tzinfo=timezone.utc).timestamp())
+#: Bare numbers count from 1970 in a unit that the number of their digits tells: up to so many digits, so many per second.
+#: So any instant from 1973 to 5138 is read, in seconds, milli-, micro- or nanoseconds; shorter numbers name none.
+EPOCH_LEAST_DIGITS = 9
+EPOCH_UNITS = ((11, 1), (14, 1_000), (17, 1_000_000), (20, 1_000_000_000))
 
 _TIME = r"(?P<h>99?):(?P<mi>99)(?::(?P<s>99)(?:[.,](?P<f>9+))?)?"
 _TAIL = (
@@ -49,7 +50,7 @@ _GRAMMARS = {
     "numeric": r"^(?P<p>99?)(?P<ds>[/.-])(?P<q>99?)(?P=ds)(?P<Y>9999)(?:,? +" + _TIME + ")?" + _TAIL,
     "dmy_name": r"^(?:(?P<wd>A{3,9}),? +)?(?P<D>99?)[ -](?P<mon>A{3,9})\.?,?[ -](?P<Y>9999)(?:,? +" + _TIME + ")?" + _TAIL,
     "mdy_name": r"^(?:(?P<wd>A{3,9}),? +)?(?P<mon>A{3,9})\.? +(?P<D>99?),? +(?P<Y>9999)(?:,? +" + _TIME + ")?" + _TAIL,
-    "epoch": r"^(?P<n>9{1,19})(?:\.(?P<f>9+))?$",
+    "epoch": r"^(?P<n>9{9,20})(?:\.(?P<f>9+))?$",
 }
 _COMPILED = {k: re.compile(v) for k, v in _GRAMMARS.items()}
 
@@ -263,17 +264,13 @@ def _convert(texts: np.ndarray, mask: str, zones: np.ndarray, day_first: np.ndar
 
 
 def _epoch(texts: np.ndarray, at: dict[str, tuple[int, int]]) -> np.ndarray:
-    out = np.full(len(texts), NONE, dtype=np.int64)
-    for i, t in enumerate(texts):
-        a, b = at["n"]
-        whole = int(t[a:b])
+    a, b = at["n"]
+    unit = next(u for digits, u in EPOCH_UNITS if b - a <= digits)
+    out = []
+    for t in texts:
         frac = t[at["f"][0]: at["f"][1]] if "f" in at else ""
-        for unit in (1, 1_000, 1_000_000, 1_000_000_000):  # per second
-            if EPOCH_FROM * unit <= whole < EPOCH_TO * unit:
-                scaled = int(str(whole) + (frac + "000000")[:6])  # in millionths of the unit
-                out[i] = scaled // unit
-                break
-    return out
+        out.append(int(t[a:b] + (frac + "000000")[:6]) // unit)  # from millionths of the unit
+    return np.array(out, dtype=np.int64)
 
 
 def to_utc_micros(texts: pd.Series, zones: pd.Series, day_first: pd.Series, abbr: dict[str, int]) -> np.ndarray:

@@ -236,7 +236,7 @@ def run_query(text: str | tuple, catalog: GraphCatalog, cartesian: bool = False)
 
 
 def run_constraint(text: str | tuple, catalog: GraphCatalog) -> DataFrame:
-    """constraint, focus_node, path, message: one row per focus that violates a defconstraint."""
+    """constraint, focus_node, path, message, component (empty where none is named): one row per focus that violates a defconstraint."""
     q = parse(text, catalog, "defconstraint")
     if "?focus" not in set().union(*[a.variables for a in q.where]):
         raise ValueError(f"{q.name}: ?focus is not bound in :where")
@@ -244,7 +244,8 @@ def run_constraint(text: str | tuple, catalog: GraphCatalog) -> DataFrame:
         raise ValueError(f"{q.name}: :message is missing")
     return _body(q, catalog, False).select(
         F.lit(q.name).alias("constraint"), F.col("focus").alias("focus_node"),
-        F.lit(q.options.get("path") or "").alias("path"), F.lit(q.options["message"]).alias("message")).distinct()
+        F.lit(q.options.get("path") or "").alias("path"), F.lit(q.options["message"]).alias("message"),
+        F.lit(q.options.get("component") or "").alias("component")).distinct()
 
 
 def constraint_report(constraints: Iterable[str], catalog: GraphCatalog) -> DataFrame:

@@ -13,6 +13,7 @@ from marlstone.operators import argument, composition, consistency, evaluation,
 from marlstone.plans import rules
 from marlstone.plans.catalog import GraphCatalog
 from marlstone.queries.graph import current_claims, current_counter_claims
+from marlstone.queries.instants import COUNTERS_AT, WRITERS
 from marlstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,8 +234,8 @@ QUERIES: dict[str, Query] = {
 
 _CUR = """cur AS (SELECT * REPLACE (lower(trim(claim_id)) AS claim_id, lower(trim(status)) AS status) FROM claims
     QUALIFY row_number() OVER (PARTITION BY lower(trim(claim_id)) ORDER BY ledger_seq DESC) = 1)"""
-_CC = """cc AS (SELECT * REPLACE (lower(trim(id)) AS id, lower(trim(target_claim_id)) AS target_claim_id, lower(trim(status)) AS status) FROM counter_claims
-    QUALIFY row_number() OVER (PARTITION BY lower(trim(id)) ORDER BY created_at DESC NULLS LAST) = 1)"""
+_CC = f"""{WRITERS}, {COUNTERS_AT}, cc AS (SELECT * REPLACE (lower(trim(id)) AS id, lower(trim(target_claim_id)) AS target_claim_id, lower(trim(status)) AS status) FROM cj_at
+    QUALIFY row_number() OVER (PARTITION BY lower(trim(id)) ORDER BY us DESC NULLS LAST) = 1)"""
 _WIL = "(wins / n + 1.9208 / n {} 1.96 * sqrt((wins / n) * (1 - wins / n) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n)"
 _FACTS = r"""fx AS (SELECT claim_id, CASE WHEN regexp_matches(canonical_text, '^[A-Z]\w+ reports \d+ cases') THEN 'reported-cases'
     WHEN regexp_matches(canonical_text, '^Compared with the \w+ [\w-]+, .* and gained \d+\.$') THEN 'gained' WHEN regexp_matches(canonical_text, '^Compared with the \w+ [\w-]+, the [\w-]+ lost \d+') THEN 'lost'

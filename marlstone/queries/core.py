@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.keys import norm_key, stable_double
 from marlstone.operators import hierarchy, history, nested, references, snapshots, timestamps, units
+from marlstone.queries.instants import CLAIMS_AT, COUNTERS_AT
 from marlstone.sources.tables import table
 from marlstone.storage import Scratch
 
@@ -206,7 +207,40 @@ s AS (SELECT DISTINCT c.snapshot_id, taken_at, lower(trim(claim_id)) AS claim_id
 n AS (SELECT snapshot_id, row_number() OVER (ORDER BY min(taken_at)) AS no FROM s GROUP BY 1), t AS (SELECT s.*, no FROM s JOIN n USING (snapshot_id)),
 j AS (SELECT coalesce(b.no, a.no + 1) AS no, coalesce(b.claim_id, a.claim_id) AS claim_id, a.claim_id AS ca, b.claim_id AS cb, a.status AS sa, b.status AS sb, a.p AS pa, b.p AS pb FROM t a FULL JOIN t b ON b.no = a.no + 1 AND a.claim_id = b.claim_id),
 ch AS (SELECT n.snapshot_id, claim_id, CASE WHEN ca IS NULL THEN 'added' WHEN cb IS NULL THEN 'removed' WHEN sa IS DISTINCT FROM sb OR pa IS DISTINCT FROM pb THEN 'changed' END AS change FROM j JOIN n USING (no) WHERE n.no > 1)"""
+_P1 = f"""{CLAIMS_AT}, {COUNTERS_AT},
+h AS (SELECT 'claims' AS ref_table, lower(trim(claim_id)) AS ref_key, us, 'counter_claim_ids' AS ref_field, 'counter_claims' AS tt, unnest(counter_claim_ids) AS x FROM ci_at
+    UNION ALL SELECT 'claims', lower(trim(claim_id)), us, 'source_spans.doc_id', 'source_manifests', unnest(list_transform(source_spans, lambda y: y.doc_id)) FROM ci_at
+    UNION ALL SELECT 'counter_claims', lower(trim(id)), us, 'target_claim_id', 'claims', target_claim_id FROM cj_at),
+r AS (SELECT ref_table, ref_key, ref_field, tt, lower(trim(x)) AS target_key, min(us) AS us FROM h WHERE x IS NOT NULL AND ref_key IS NOT NULL GROUP BY ALL),
+w AS (SELECT 'claims' AS tt, lower(trim(claim_id)) AS k, us FROM ci_at UNION ALL SELECT 'counter_claims', lower(trim(id)), us FROM cj_at),
+g AS (SELECT lower(trim(target_table)) AS tt, lower(trim(target_key)) AS k, max(epoch_us(deleted_at)) AS gone FROM tombstones GROUP BY 1, 2),
+t AS (SELECT w.tt, w.k, min(us) AS us, any_value(gone) IS NOT NULL AND NOT coalesce(max(us) > any_value(gone), false) AS gone FROM w LEFT JOIN g ON g.tt = w.tt AND g.k = w.k WHERE w.k IS NOT NULL GROUP BY 1, 2
+    UNION ALL SELECT 'source_manifests', lower(trim(doc_id)), min(epoch_us(TRY_CAST(ingested_at AS TIMESTAMPTZ))), max(coalesce(trim(withdrawn_at), '') <> '') FROM source_manifests WHERE doc_id IS NOT NULL GROUP BY 2),
+o AS (SELECT ref_table, ref_key, ref_field, target_key, r.us, CASE WHEN t.k IS NULL THEN 'missing' WHEN t.gone THEN 'deleted' WHEN t.us > r.us THEN 'late' END AS reason FROM r LEFT JOIN t ON t.tt = r.tt AND t.k = r.target_key)"""
+_P3 = f"""{CLAIMS_AT}, r AS (SELECT lower(trim(claim_id)) AS claim_id, lower(trim(status)) AS status, us FROM ci_at WHERE status IS NOT NULL AND us IS NOT NULL AND claim_id IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY lower(trim(claim_id)), us ORDER BY ledger_seq DESC) = 1),
+m AS (SELECT *, CASE WHEN status = lag(status) OVER (PARTITION BY claim_id ORDER BY us) THEN 0 ELSE 1 END AS new FROM r), i AS (SELECT *, sum(new) OVER (PARTITION BY claim_id ORDER BY us) AS island FROM m),
+q AS (SELECT claim_id, status, CAST(min(us) AS BIGINT) AS valid_from, count(*) AS n_records FROM i GROUP BY claim_id, status, island)"""
+_P2 = r"""raw AS (SELECT DISTINCT record_id, payload FROM raw_claims WHERE payload IS NOT NULL AND json_valid(ltrim(payload, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)))),
+doc AS (SELECT record_id, row_number() OVER () AS no, CAST(ltrim(payload, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) AS JSON) AS j FROM raw),
+n AS (SELECT record_id, no, t.key, t.type, t.value, t.atom, t.id, t.parent FROM doc, json_tree(doc.j) t),
+cl AS (SELECT record_id, no, parent AS obj, json_extract_string(atom, '$') AS claim_id FROM n WHERE key = 'claim_id' AND type = 'VARCHAR'),
+ow AS (SELECT cl.record_id, cl.no, cl.obj, claim_id, n.key AS child, n.id AS oid, n.type = 'VARCHAR' AS plain, json_extract_string(n.atom, '$') AS s, n.value AS v FROM cl JOIN n ON n.no = cl.no AND n.parent = cl.obj AND n.key IN ('source_spans', 'supports_chapters')),
+ov AS (SELECT * EXCLUDE (v, plain), row_number() OVER () AS o, plain AND NOT (regexp_matches(s, '^\s*[\[{]') AND json_valid(s)) AS plain, CASE WHEN plain AND regexp_matches(s, '^\s*[\[{]') AND json_valid(s) THEN CAST(s AS JSON) ELSE v END AS v FROM ow),
+x AS (SELECT ov.o, ov.record_id, claim_id, child, t.key, t.type, json_extract_string(t.atom, '$') AS text, t.id, t.parent, t.path, ov.plain FROM ov, json_tree(ov.v) t),
+sp AS (SELECT l.o, l.record_id, l.claim_id, l.child, l.id, 0 AS sub, l.text, arg_max(d.text, length(d.path)) AS doc FROM x l LEFT JOIN x d ON d.o = l.o AND d.key = 'doc_id' AND d.type = 'VARCHAR' AND (l.path = d.path OR starts_with(l.path, d.path || '.') OR starts_with(l.path, d.path || '['))
+    WHERE l.child = 'source_spans' AND l.key = 'locator_text' AND l.type = 'VARCHAR' GROUP BY ALL),
+ch AS (SELECT o, record_id, claim_id, child, id, sub, k FROM (SELECT o, record_id, claim_id, child, id, unnest(list_filter(string_split_regex(text, '[;,|\s]+'), lambda y: y <> '')) AS k, generate_subscripts(list_filter(string_split_regex(text, '[;,|\s]+'), lambda y: y <> ''), 1) AS sub FROM x WHERE child = 'supports_chapters' AND plain)
+    UNION ALL SELECT o, record_id, claim_id, child, id, 0, text FROM x WHERE child = 'supports_chapters' AND NOT plain AND type = 'VARCHAR' AND (key = 'chapter_id' OR path = '$' AND TRY_CAST(key AS INTEGER) IS NOT NULL)),
+al AS (SELECT o, record_id, claim_id, child, id, sub, coalesce(doc, '') || '|' || text AS k FROM sp UNION ALL SELECT * FROM ch)"""
 SQL: dict[str, str] = {
+    "p1_found": f"WITH {_P1} SELECT ref_table, ref_key, ref_field, target_key, reason FROM o WHERE reason IS NOT NULL",
+    "p1_report": f"WITH {_P1} SELECT ref_table, ref_field, strftime(make_timestamp(CAST(us AS BIGINT)), '%Y-%m') AS month, reason, count(*) AS n_references FROM o WHERE reason IS NOT NULL GROUP BY ALL",
+    "p2_found": f"WITH {_P2} SELECT DISTINCT record_id, claim_id, child, CAST(row_number() OVER (PARTITION BY o ORDER BY id, sub) - 1 AS INTEGER) AS pos, k AS child_key FROM al",
+    "p3_found": f"WITH {_P3} SELECT claim_id, status, valid_from AS valid_from_us FROM q",
+    "p3_history": f"WITH {_P3} SELECT claim_id, status, valid_from, lead(valid_from) OVER (PARTITION BY claim_id ORDER BY valid_from) AS valid_to, n_records FROM q",
+    "p7_found": f"""WITH {CLAIMS_AT}, {COUNTERS_AT} SELECT 'claims' AS source_table, CAST(ledger_seq AS VARCHAR) AS record_key, CAST(us AS BIGINT) AS utc_us FROM ci_at WHERE us IS NOT NULL
+        UNION SELECT 'counter_claims', lower(trim(id)), CAST(us AS BIGINT) FROM cj_at WHERE us IS NOT NULL""",
     "p4_found": f"WITH {_P4} SELECT * FROM ch WHERE change IS NOT NULL",
     "p4_counts": f"WITH {_P4} SELECT snapshot_id, change, count(*) AS n_claims FROM ch WHERE change IS NOT NULL GROUP BY 1, 2",
     "p6_found": """WITH RECURSIVE n AS (SELECT lower(trim(node_id)) AS node, lower(trim(parent_id)) AS parent FROM thesis_nodes WHERE node_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(trim(node_id)) ORDER BY revised_at DESC) = 1),

@@ -45,36 +45,18 @@ def lint_hedges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def style_profile(spark: SparkSession, d: str) -> DataFrame:
-    p = style.build_profile(_docs(spark, d), 50)
+    p = style.build_profile(_docs(spark, d))
     return p.select("word", "rank", F.round("mean", 9).alias("mean"), F.round("stdev", 9).alias("stdev"))
 
 
 def style_delta(spark: SparkSession, d: str) -> DataFrame:
     """Deviation of every document from the profile of the chapter drafts."""
-    docs = _docs(spark, d)
-    profile = style.build_profile(docs.where("doc_kind = 'chapter_draft'"), 50)
-    return style.burrows_delta(docs, profile).select("doc_id", "words", F.round("delta", 6).alias("delta"), F.round("l1", 8).alias("l1"))
-
-
-def style_top_deviations(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    profile = style.build_profile(docs.where("doc_kind = 'chapter_draft'"), 50)
-    return style.contributions(docs, profile, 3).select("doc_id", "word", F.round("z", 6).alias("z"), "rank")
-
-
-def style_profile_full(spark: SparkSession, d: str) -> DataFrame:
-    """The profile of the operator's own size; the queries without _full have 50 words and 3 deviations, as their SQL states."""
-    p = style.build_profile(_docs(spark, d))
-    return p.select("word", "rank", F.round("mean", 9).alias("mean"), F.round("stdev", 9).alias("stdev"))
-
-
-def style_delta_full(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     profile = style.build_profile(docs.where("doc_kind = 'chapter_draft'"))
     return style.burrows_delta(docs, profile).select("doc_id", "words", F.round("delta", 6).alias("delta"), F.round("l1", 8).alias("l1"))
 
 
-def style_top_deviations_full(spark: SparkSession, d: str) -> DataFrame:
+def style_top_deviations(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     profile = style.build_profile(docs.where("doc_kind = 'chapter_draft'"))
     return style.contributions(docs, profile).select("doc_id", "word", F.round("z", 6).alias("z"), "rank")
@@ -125,6 +107,8 @@ QUERIES: dict[str, Query] = {
     "lint_reading_grades": _over(lint.reading_grades),
     "lint_abstraction": _over(lint.abstraction),
     "lint_analogy_absent": _over(lint.analogy_absent),
+    "lint_conversational_cold": _over(lint.conversational_cold),
+    "lint_curiosity_absent": _over(lint.curiosity_absent),
     "lint_signal_density": _over(lint.signal_density),
     "lint_concrete_instances": _over(lint.concrete_instances),
     "lint_parallel_lists": _over(lint.parallel_lists),
@@ -137,9 +121,6 @@ QUERIES: dict[str, Query] = {
     "style_profile": style_profile,
     "style_delta": style_delta,
     "style_top_deviations": style_top_deviations,
-    "style_profile_full": style_profile_full,
-    "style_delta_full": style_delta_full,
-    "style_top_deviations_full": style_top_deviations_full,
     "style_length_bands": style_length_bands,
     "style_shared_ngrams": style_shared_ngrams,
     "style_first_words": style_first_words,
@@ -155,6 +136,11 @@ _S = r"""s AS (SELECT doc_id, source, doc_kind, list_filter(list_transform(strin
 _UNIX = r"regexp_replace(text, '\r\n?', chr(10), 'g')"
 _TRIM = "' ' || chr(9) || chr(10) || chr(13) || chr(12)"
 _P = rf"""p AS (SELECT doc_id, list_filter(list_transform(string_split_regex({_UNIX}, '\n[ \t\f]*\n'), lambda x: trim(x, {_TRIM})), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL)"""
+# blocks of prose on one line: no code, headings or lists
+_B = rf"""b0 AS (SELECT doc_id, list_filter(string_split_regex({_UNIX}, '\n[ \t\f]*\n'), lambda x: trim(x, {_TRIM}) <> '') AS p FROM documents WHERE text IS NOT NULL),
+b1 AS (SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS paragraph, unnest(p) AS y FROM b0),
+b AS (SELECT doc_id, paragraph, trim(regexp_replace(y, '[ \t\n\r\f]+', ' ', 'g'), ' ') AS x, len(regexp_extract_all(y, '[^ \t\n\r\f]+')) AS n FROM b1
+    WHERE NOT regexp_matches(y, '^(?:[ \t\f]*\n)*(?:    |[ \t\n\f]*(?:```|#|(?:[-*+]|\d+\.)[ \t\n\f]))'))"""
 _TOK = "regexp_extract_all(lower({}), '[a-z'']+')"
 _WC = _TOK.format("text")
 _SPACE = r"len(regexp_extract_all({}, '[^ \t\n\r\f]+'))"
@@ -179,8 +165,10 @@ SQL: dict[str, str] = {
         FROM t JOIN s USING (doc_id) WHERE len(w) > 0""",
     "text_register": r"""SELECT CASE WHEN regexp_matches(text, '(?i)\b(must|wrong|fallacy|absurd|refute|nonsense)\b') THEN 'polemic'
         WHEN regexp_matches(text, '(?i)\b(algorithm|protocol|equation|parameter|function|estimator|posterior)\b') THEN 'technical' ELSE 'narrative' END AS register, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1""",
-    "lint_hedges": rf"""WITH l AS (SELECT doc_id, unnest(string_split({_UNIX}, chr(10))) AS x, generate_subscripts(string_split({_UNIX}, chr(10)), 1) AS line FROM documents WHERE text IS NOT NULL)
-        SELECT doc_id, CAST(line AS INTEGER) AS line, unnest(regexp_extract_all(lower(x), '{lint.phrases(lint.HEDGES).replace("(?i)", "")}')) AS phrase FROM l""",
+    # RE2 has no look-ahead: a "rather" before "than" in its sentence is masked first
+    "lint_hedges": rf"""WITH l AS (SELECT doc_id, unnest(string_split({_UNIX}, chr(10))) AS x, generate_subscripts(string_split({_UNIX}, chr(10)), 1) AS line FROM documents WHERE text IS NOT NULL),
+        m AS (SELECT doc_id, line, regexp_replace(regexp_replace(lower(x), '\brather\b([^.!?\n]*than)', 'r_ther\1', 'g'), '\brather\b([^.!?\n]*than)', 'r_ther\1', 'g') AS x FROM l)
+        SELECT doc_id, CAST(line AS INTEGER) AS line, unnest(regexp_extract_all(x, '{lint.phrases(lint.HEDGES).replace("(?i)", "")}')) AS phrase FROM m""",
     "lint_burstiness": rf"""WITH {_S}, n AS (SELECT doc_id, list_transform(s, lambda x: {_SPACE.format('x')}) AS n FROM s WHERE len(s) >= 2),
         m AS (SELECT doc_id, len(n) AS sentences, list_avg(n) AS m, list_var_pop(n) AS v, len(list_filter(n, lambda x: x BETWEEN 12 AND 17)) / len(n) AS b FROM n)
         SELECT doc_id, sentences, round(v / m, 6) AS fano, round(b, 6) AS in_band, round(sqrt(v) / m, 6) AS cv, CASE WHEN round(v / m, 6) < 0.3 OR b > 0.85 THEN 'critical' WHEN round(v / m, 6) < 0.5 THEN 'important' WHEN round(v / m, 6) < 0.7 THEN 'advisory' ELSE 'pass' END AS tier FROM m WHERE m > 0""",
@@ -192,18 +180,21 @@ SQL: dict[str, str] = {
     "lint_reading_grades": rf"""WITH {_S}, x AS (SELECT doc_id, unnest(s) AS t, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS sentence FROM s), y AS (SELECT doc_id, sentence, {_TOK.format('t')} AS w FROM x),
         g AS (SELECT doc_id, sentence, round(0.39 * len(w) + 11.8 * list_sum(list_transform(w, lambda v: greatest(1, len(regexp_extract_all(v, '[aeiouy]')) - len(regexp_extract_all(v, '[aeiouy][aeiouy]')) + len(regexp_extract_all(v, 'i[aeou]')) - CASE WHEN v LIKE '%e' THEN 1 ELSE 0 END))) / len(w) - 15.59, 6) AS grade FROM y WHERE len(w) >= 6)
         SELECT * FROM g WHERE grade > 16""",
-    "lint_abstraction": rf"""WITH {_P}, x AS (SELECT doc_id, unnest(p) AS t, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS paragraph FROM p), y AS (SELECT doc_id, paragraph, {_TOK.format('t')} AS w FROM x),
-        g AS (SELECT doc_id, paragraph, round(len(list_filter(w, lambda v: regexp_matches(v, '(tion|sion|ment|ness|ity|ance|ence|ism)s?$'))) / len(w), 6) AS share FROM y WHERE len(w) >= 10) SELECT * FROM g WHERE share > 0.18""",
+    "lint_abstraction": rf"""WITH {_B}, c AS (SELECT doc_id, paragraph, len(regexp_extract_all(x, '(?i)\b\w+(?:{'|'.join(lint.ABSTRACT_ENDINGS)})\b')) / n AS s FROM b WHERE n >= 10)
+        SELECT doc_id, paragraph, round(s, 3) AS share FROM c WHERE s > 0.18""",
+    "lint_analogy_absent": rf"""WITH {_B} SELECT doc_id, paragraph FROM b WHERE n >= 30 AND NOT regexp_matches(' ' || x || ' ', '(?i)[^\p{{L}}\p{{N}}_](like|as if|as though|imagine|picture|think of|similar to|the way|just as|kind of like|sort of like|as when|wearing|wears|dressed up|in disguise|no better than|better than a|worse than a)[^\p{{L}}\p{{N}}_]')""",
+    "lint_conversational_cold": rf"""WITH {_B} SELECT doc_id, paragraph FROM b WHERE n >= 25 AND NOT regexp_matches(x, '{lint.SPOKEN.replace(chr(39), chr(39) * 2)}')""",
+    "lint_curiosity_absent": rf"""WITH {_B} SELECT doc_id, paragraph FROM b WHERE n >= 30 AND NOT regexp_matches(x, '{lint.CURIOUS.replace(chr(39), chr(39) * 2)}')""",
     "lint_signal_density": rf"""WITH {_S}, x AS (SELECT doc_id, unnest(s) AS t, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS sentence FROM s), y AS (SELECT doc_id, sentence, {_TOK.format('t')} AS w FROM x),
         g AS (SELECT doc_id, sentence, round(len(list_filter(w, lambda v: regexp_matches(v, '(ly|ous|ful|ive|al|less|able)$'))) / len(w), 6) AS share FROM y WHERE len(w) >= 8) SELECT * FROM g WHERE share > 0.25""",
     "lint_headings": rf"""WITH l AS (SELECT doc_id, unnest(string_split({_UNIX}, chr(10))) AS x, CAST(generate_subscripts(string_split({_UNIX}, chr(10)), 1) AS INTEGER) AS line FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, line, CAST(length(regexp_extract(x, '^(#{{1,6}})[ \t]+\S', 1)) AS INTEGER) AS level, regexp_extract(x, '^#{{1,6}}[ \t]+(.*)$', 1) AS title FROM l WHERE regexp_matches(x, '^(#{{1,6}})[ \t]+\S')""",
     "lint_title_case": r"""WITH r AS (SELECT doc_id, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\b((?:[A-Z][a-z]+)(?: [A-Z][a-z]+)+)\b', 1), lambda x: regexp_replace(x, '^(The|A|An) ', '')), lambda x: contains(x, ' ') AND x <> 'New York'))) AS concept
         FROM documents WHERE text IS NOT NULL) SELECT * FROM r""",
-    "style_profile": f"WITH {_profile('true', 50)} SELECT word, rank, round(mean, 9) AS mean, round(stdev, 9) AS stdev FROM pf",
-    "style_delta": f"WITH {_profile(_DRAFT, 50)} SELECT doc_id, words, round(avg(abs({_Z})), 6) AS delta, round(avg(abs(f - mean)), 8) AS l1 FROM dv GROUP BY doc_id, words",
-    "style_top_deviations": f"""WITH {_profile(_DRAFT, 50)}, z AS (SELECT doc_id, word, {_Z} AS z FROM dv)
-        SELECT doc_id, word, round(z, 6) AS z, row_number() OVER (PARTITION BY doc_id ORDER BY abs(round(z, 6)) DESC, word) AS rank FROM z QUALIFY rank <= 3""",
+    "style_profile": f"WITH {_profile('true', 300)} SELECT word, rank, round(mean, 9) AS mean, round(stdev, 9) AS stdev FROM pf",
+    "style_delta": f"WITH {_profile(_DRAFT, 300)} SELECT doc_id, words, round(avg(abs({_Z})), 6) AS delta, round(avg(abs(f - mean)), 8) AS l1 FROM dv GROUP BY doc_id, words",
+    "style_top_deviations": f"""WITH {_profile(_DRAFT, 300)}, z AS (SELECT doc_id, word, {_Z} AS z FROM dv)
+        SELECT doc_id, word, round(z, 6) AS z, row_number() OVER (PARTITION BY doc_id ORDER BY abs(round(z, 6)) DESC, word) AS rank FROM z QUALIFY rank <= 15""",
     "style_length_bands": rf"""WITH {_S}, v AS (SELECT source, CAST(unnest(list_transform(s, lambda x: {_SPACE.format('x')})) AS DOUBLE) AS v FROM s), r AS (SELECT source, v, row_number() OVER (PARTITION BY source ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM v)
         SELECT source, {', '.join(f"min(v) FILTER (i >= round_even({p} * (n - 1), 0)) AS p{int(p * 100)}" for p in (0.1, 0.25, 0.5, 0.75, 0.9))}, round(avg(v), 6) AS mean, round(sqrt(var_pop(v)) / avg(v), 6) AS cv FROM r GROUP BY source""",
     "style_shared_ngrams": f"""WITH c AS (SELECT doc_id, doc_kind, {_WC} AS w FROM documents WHERE text IS NOT NULL), g AS (SELECT DISTINCT doc_id, doc_kind, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) AS g FROM c WHERE len(w) >= 4),

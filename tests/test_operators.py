@@ -49,8 +49,13 @@ def test_claim_filters(spark):
 
 
 def test_antonym_conflicts(spark):
-    df = spark.createDataFrame([("1", "verified", "", "Pressure increases flow", None, None), ("2", "verified", "", "pressure decreases heat", None, None), ("3", "verified", "", "pressure decreases heat", None, None), ("4", "proposed", "", "pressure decreases x", None, None), ("5", "verified", "", "it decreases", None, None)], CLAIMS)
-    assert rows(ledger.antonym_conflicts(df), "claim_a", "claim_b", "n_a", "n_b") == {("2", "1", 2, 1)}
+    said = [("1", "verified", "Smoking allowed here"), ("2", "verified", "smoking forbidden indoors"), ("3", "verified", "smoking forbidden there"), ("4", "proposed", "smoking forbidden"), ("5", "verified", "it is forbidden"), ("6", "verified", "Visits allowed or forbidden")]
+    df = spark.createDataFrame([(i, st, "", t, None, None) for i, st, t in said], CLAIMS)
+    # claim 6 holds both halves but no other claim shares its words
+    got = rows(ledger.antonym_conflicts(df), "pair", "word", "claim_a", "claim_b", "n_a", "n_b")
+    assert ("allowed/forbidden", "smoking", "1", "2", 1, 2) in got and not any(r[1] == "visits" for r in got)
+    assert ("allowed/forbidden", "allowed", "1", "6", 2, 1) in got and ("allowed/forbidden", "forbidden", "6", "2", 1, 4) in got
+    assert rows(ledger.antonym_members(df).where("word = 'smoking'"), "side", "claim_id") == {("first", "1"), ("second", "2"), ("second", "3")}
 
 
 def test_normal_forms(spark):

@@ -108,8 +108,8 @@ def test_constraints(spark):
     c = GraphCatalog(spark, SCHEMA)
     c.put("p", spark.createDataFrame([("1", "x", 1), ("2", None, 2), ("3", "y", None)], "id string, a string, n long"))
     missing = '(defconstraint :has-a :message "no a" :path "a" :where [[?e :p/id ?focus]] :not [[?f :p/id ?focus] [?f :p/a ?any]])'
-    big = '(defconstraint :small :message "too big" :where [[?e :p/id ?focus] [?e :p/n ?n]] :filter [[> ?n 1]])'
-    assert {tuple(r) for r in constraint_report([missing, big], c).collect()} == {("has-a", "2", "a", "no a"), ("small", "2", "", "too big")}
+    big = '(defconstraint :small :message "too big" :component "x#Max" :where [[?e :p/id ?focus] [?e :p/n ?n]] :filter [[> ?n 1]])'
+    assert {tuple(r) for r in constraint_report([missing, big], c).collect()} == {("has-a", "2", "a", "no a", ""), ("small", "2", "", "too big", "x#Max")}
     for bad in ('(defconstraint :x :message "m" :where [[?e :p/id ?i]])', '(defconstraint :x :where [[?e :p/id ?focus]])', '(defconstraint :x :message "m" :find [?focus] :where [[?e :p/id ?focus]])'):
         with pytest.raises(ValueError):
             run_constraint(bad, c)

@@ -48,6 +48,21 @@ def test_phrase_findings(spark):
     assert got == {(0, "hedge", 1), (0, "hedge", 2), (0, "false-certainty", 2), (4, "transition-opening", 1), (4, "hedge", 1), (4, "orphan-claim-token", 1), (4, "em-dash", 1)}
 
 
+def test_phrase_columns_and_bounds(spark):
+    d = docs(spark, "It may be quite odd.", "I would rather go than stay, rather.", "So it is. Moreover, a system fails", "The system that a judge built", "Method rests on 3 premises.\u0001")
+    got = rows(lint.phrase_findings(d), "doc_id", "rule", "detail", "column")
+    assert {(0, "hedge", "may", 4), (0, "hedge", "quite", 11), (1, "hedge", "rather", 30), (2, "transition-opening", "Moreover", 11)} <= got and (1, "hedge", "rather", 9) not in got
+    assert not any(r[0] == 3 and r[1].startswith("sweeping") for r in got) and {(4, "listicle-abstract", "rests on 3 premise", 8), (4, "listicle-abstract", "rests on 3 premises", 8)} <= got
+    assert rows(lint.phrase_findings(d, ["mine"], {"mine": ["odd"]}), "doc_id", "detail", "column") == {(0, "odd", 17)}
+
+
+def test_cold_and_incurious(spark):
+    plain = "word " * 29 + "word"
+    d = docs(spark, plain, plain + " what if", "# heading\n\n" + plain + " you", "- " + plain, None, "")
+    assert rows(lint.conversational_cold(d), "doc_id", "paragraph") == {(0, 0), (1, 0)}
+    assert rows(lint.curiosity_absent(d), "doc_id", "paragraph") == {(0, 0), (2, 1)}
+
+
 def greedy(counts, k=4, tol=3):
     i = hits = 0
     while i <= len(counts) - k:

@@ -1,4 +1,4 @@
-"""Queries that do the whole job where the query that has SQL is cut as the SQL is."""
+"""Queries over whole profiles, witness lists and constraints."""
 
 import collections
 import statistics
@@ -9,7 +9,6 @@ import pytest
 import __spark_entry__ as entry
 from marlstone.operators import belief, lint, timestamps
 from marlstone.plans import rules
-from marlstone.queries import graph
 
 
 def test_style_over_the_whole_profile(spark, tmp_path):
@@ -25,16 +24,16 @@ def test_style_over_the_whole_profile(spark, tmp_path):
     mean = {w: statistics.fmean(f[w] for f in freq) for w in common}
     dev = {w: statistics.pstdev([f[w] for f in freq]) for w in common}
     run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
-    profile = {r["word"]: r for r in run("style_profile_full")}
+    profile = {r["word"]: r for r in run("style_profile")}
     assert [profile[w]["rank"] for w in common] == list(range(1, 301)) and len(profile) == 300
     assert all(profile[w]["mean"] == pytest.approx(mean[w], abs=2e-9) and profile[w]["stdev"] == pytest.approx(dev[w], abs=2e-9) for w in common)
     z = [{w: (f[w] - mean[w]) / dev[w] for w in common} for f in freq]
-    delta = {r["doc_id"]: r for r in run("style_delta_full")}
+    delta = {r["doc_id"]: r for r in run("style_delta")}
     for k in range(4):
         assert delta[f"d{k}"]["delta"] == pytest.approx(statistics.fmean(map(abs, z[k].values())), abs=2e-6)
         assert delta[f"d{k}"]["l1"] == pytest.approx(statistics.fmean(abs(freq[k][w] - mean[w]) for w in common), abs=2e-8)
     top = collections.defaultdict(list)
-    for r in run("style_top_deviations_full"):
+    for r in run("style_top_deviations"):
         top[r["doc_id"]].append((r["rank"], r["word"], r["z"]))
     for k in range(4):
         got = sorted(top[f"d{k}"])
@@ -53,15 +52,6 @@ def test_all_witnesses_with_parents_first(spark):
     assert got(9)["a"] == (every[:9], True) and got(10)["a"] == (every, False)
 
 
-def test_belief_witnesses_full(spark, data):
-    cut = {r["claim_id"]: r for r in entry.queries()["belief_witnesses"](spark, data).collect()}
-    whole = {r["claim_id"]: r for r in entry.queries()["belief_witnesses_full"](spark, data).collect()}
-    assert whole.keys() == cut.keys() and not any(r["truncated"] for r in whole.values())
-    sources = {k: [w for w in r["witnesses"] if not w.startswith("parent-claim:")] for k, r in whole.items()}
-    assert all(" & ".join(w[:2]) == cut[k]["witnesses"] and (len(w) > 2) == cut[k]["truncated"] for k, w in sources.items())
-    assert any(len(w) > 2 for w in sources.values()) and any(len(r["witnesses"]) > len(sources[k]) for k, r in whole.items())
-
-
 def test_defects_count_every_witness(spark):
     facts = spark.createDataFrame([(f"{i:02d}", "s", "a", -1.0) for i in range(30)] + [("40", "t", "a", 1.0), ("41", None, "a", -1.0)], "claim_id string, subject string, predicate string, value_num double")
     cs = rules.parse_constraints("(defconstraint :pos :assert (> a 0)) (defconstraint :all :scope :corpus :assert (> a 0))")
@@ -98,16 +88,18 @@ def test_analogy_is_asked_from_thirty_words(spark):
     assert sorted((r["doc_id"], r["paragraph"]) for r in lint.analogy_absent(d).collect()) == [("a", 0), ("a", 3), ("a", 8)]
 
 
-def test_competency_report_of_all_eight(spark, data):
-    run = lambda name: {tuple(r) for r in entry.queries()[name](spark, data).select("query", "class", "severity", "n_rows").collect()}
-    whole, cut = run("kg_competency_report_full"), run("kg_competency_report")
-    assert {r[0] for r in whole} == set(graph.COMPETENCY) and len(whole) == 8
-    _, kind, severity = graph.COMPETENCY["stale_after_source_refresh"]
-    assert whole - cut == {("stale_after_source_refresh", kind, severity, entry.queries()["kg_stale_after_source_refresh"](spark, data).count())} and cut < whole
-
-
 def test_texts_of_any_length_name_instants():
     texts = ["2024-01-02T03:04:05.1234567Z", "2024-01-02T03:04:05." + "1234567" * 20 + "Z", "2024-01-02" + " " * 90 + "03:04:05", "1704164645." + "1" * 90, "x" * 5000, "2024-01-02" + " " * 5000 + "x"]
     out = timestamps.to_utc_micros(pd.Series(texts), pd.Series([None] * 6), pd.Series([None] * 6), {}).tolist()
     t = 1704164645_000000
     assert out == [t + 123456, t + 123456, t, t + 111111, timestamps.NONE, timestamps.NONE]
+
+
+def test_bare_numbers_of_any_year():
+    # 1999, 2019, 2030 and 2040 in seconds, milli-, micro- and nanoseconds
+    seconds = [915148800, 1546300800, 1893456000, 2208988800]
+    texts = [str(s * 10**p) for s in seconds for p in (0, 3, 6, 9)]
+    out = timestamps.to_utc_micros(pd.Series(texts), pd.Series([None] * 16), pd.Series([None] * 16), {}).tolist()
+    assert out == [s * 10**6 for s in seconds for _ in range(4)]
+    short = timestamps.to_utc_micros(pd.Series(["2024", "20240102", "0"]), pd.Series([None] * 3), pd.Series([None] * 3), {}).tolist()
+    assert short == [timestamps.NONE] * 3
