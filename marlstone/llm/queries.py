@@ -20,15 +20,9 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Per source: documents, tokens, tokens that split a character, and documents that decode to other text (none should)."""
-    docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    coded = tokens.encode_with_offsets(docs)
-    back = tokens.decode(coded).withColumnRenamed("text", "decoded")
-    return (
-        docs.join(coded.select("doc_id", F.size("ids").alias("n"), "n_split"), "doc_id").join(back, "doc_id")
-        .groupBy("source").agg(
-            F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"), F.sum("n_split").alias("n_split"),
-            F.sum((F.coalesce("text", F.lit("")) != F.col("decoded")).cast("int")).alias("n_changed"))
-    )
+    back = tokens.roundtrip(table(spark, d, "documents"), keep=("source",))
+    return back.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"), F.sum("n_split").alias("n_split"), F.sum((~F.col("same")).cast("int")).alias("n_changed"))
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:

@@ -106,17 +106,36 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>")
 
 
+#: Fixed value: the pattern by which the byte-level tokenizers cut texts before they merge.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+
+
+@lru_cache(maxsize=4)
+def counter(path: str):
+    """A faster reader of the same vocabulary, from the file of its merge ranks."""
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """key and n_tokens of every row, 0 for null and empty texts."""
-    path = path or tokenizer_file()
-    kind = df.schema[key].dataType.simpleString()
+    """key and n_tokens of each row, 0 for null and empty texts; only the counts leave Python.
+
+    path: a file of merge ranks (by default that of byte_bpe_50k, whose counts equal those of encode), read by tiktoken.
+    """
+    path = path or tokenizer_file()[: -len("json")] + "tiktoken"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(path)
         for b in batches:
-            n = [len(ids) for ids in encode_texts(b.column(1).to_pylist(), path)]
+            n = [len(c.encode_ordinary(x)) if x else 0 for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=[key, "n_tokens"])
 
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, n_tokens long")
+    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, n_tokens long")
 
 
 def offsets(text: str, ids: list[int], path: str) -> dict[str, np.ndarray]:
@@ -157,6 +176,25 @@ def encode_with_offsets(df: DataFrame, key: str = "doc_id", text: str = "text",
     return out.withColumnRenamed("k", key)
 
 
+def roundtrip(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
+    """key, the columns to keep, n (tokens), n_split (tokens that start inside a character) and same (the ids decode to the text), in one pass."""
+    path = path or tokenizer_file()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [x or "" for x in b.column(1).to_pylist()]
+            n, split, same = [], [], []
+            for x, ids in zip(texts, encode_texts(texts, path), strict=True):
+                n.append(len(ids))
+                split.append(int(offsets(x, ids, path)["splits"].sum()))
+                same.append(decode_ids(ids, path) == x)
+            made = [pa.array(n, pa.int64()), pa.array(split, pa.int64()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[b.column(i + 2) for i in range(len(keep))], *made], names=[key, *keep, "n", "n_split", "same"])
+
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (key, *keep))
+    return df.select(key, text, *keep).mapInArrow(run, f"{kinds}, n long, n_split long, same boolean")
+
+
 def decode_ids(ids: list[int], path: str, edges: str = "replace") -> str:
     """The text of ids by the reversed byte table.
 

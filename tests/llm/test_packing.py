@@ -18,7 +18,7 @@ def check(windows, sizes, capacity):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 50), max_size=40))
 def test_windows_hold_all_items(sizes):
-    windows = packing.windows_of(sizes, 50)
+    windows, _ = packing.windows_of(sizes, 50)
     check(windows, sizes, 50)
     assert len(windows) <= len(packing.best_fit(sizes, 50))
 
@@ -41,7 +41,8 @@ def test_known_partition():
 def test_many_small_items_leave_little_room():
     rng = random.Random(3)
     sizes = [min(2048, int(rng.lognormvariate(5, 1)) + 1) for _ in range(2000)]
-    windows = packing.windows_of(sizes, 2048)
+    windows, evened = packing.windows_of(sizes, 2048)
+    assert evened
     check(windows, sizes, 2048)
     assert len(windows) <= math.ceil(sum(sizes) / 2048) + 1
 

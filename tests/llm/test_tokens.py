@@ -69,3 +69,16 @@ def test_empty_table_and_clashing_names(spark):
     clash = spark.createDataFrame([(1, "a b", [9], "x")], "doc_id long, text string, ids array<int>, k string")
     assert tokens.encode(clash).collect()[0]["ids"] == [64, 275]
     assert tokens.token_counts(clash).collect()[0]["n_tokens"] == 2
+
+
+def test_counts_equal_the_ids():
+    path = tokens.tokenizer_file()
+    c = tokens.counter(path[: -len("json")] + "tiktoken")
+    texts = ["", "plain text's 12 words  \n\n", "a" * 20_000, "héllo 世界 🙂🙂", "<|endoftext|> is text", "   x", "\r\n\t", "ABC123abc", "é"]
+    assert [len(c.encode_ordinary(x)) for x in texts] == [len(i) for i in tokens.encode_texts(texts, path)]
+
+
+def test_roundtrip_in_one_pass(spark):
+    df = spark.createDataFrame([(1, "naïve 🙂", "a"), (2, None, "b"), (3, "", None)], "doc_id long, text string, source string")
+    out = {r["doc_id"]: (r["source"], r["n"] > 0, r["same"]) for r in tokens.roundtrip(df, keep=("source",)).collect()}
+    assert out == {1: ("a", True, True), 2: ("b", False, True), 3: (None, False, True)}
