@@ -42,22 +42,24 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d))
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
+def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, float]:
+    """The scored documents and the cut that the fit chose."""
     documents = table(spark, d, "documents")
     model = abuse.fit_documents(documents, table(spark, d, "content_labels"))
-    return abuse.score_documents(documents, model, ("source",))
+    return abuse.score_documents(documents, model, ("source",)), model.cut
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+    scored, cut = _scored(spark, d)
+    return scored.where(F.col("score") >= cut).select("doc_id")
 
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).select("doc_id", F.round("score", 6).alias("score"))
+    return _scored(spark, d)[0].select("doc_id", F.round("score", 6).alias("score"))
 
 
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.source_rates(_scored(spark, d))
+    return abuse.source_rates(*_scored(spark, d))
 
 
 QUERIES: dict[str, Query] = {

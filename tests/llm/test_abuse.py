@@ -14,10 +14,30 @@ def test_disguises_are_undone():
     assert abuse.undisguise("Утверждение спорно, ticket V967")[0] == "Утверждение спорно, ticket V967"
 
 
+def words_of(p, i):
+    return [p.words[k] for k in p.ids[p.start[i]: p.start[i] + p.size[i]]]
+
+
+def test_passages():
+    p = abuse.Passages(["One two. THREE four!\nfive", None, "", "12 34", 'He said "no"; Ünï done'])
+    assert [words_of(p, i) for i in range(len(p.size))] == [["one", "two"], ["three", "four"], ["five"], ["he", "said", "no"], ["ünï", "done"]]
+    assert p.owner.tolist() == [0, 0, 0, 4, 4] and p.up.tolist() == [1, 5, 0, 1, 1] and p.bang.tolist() == [0, 1, 0, 0, 0] and p.quote.tolist() == [0, 0, 0, 2, 0]
+    assert p.letters.tolist() == [6, 9, 4, 8, 7]
+
+
 def test_long_passages_are_read_whole():
     words = " ".join(f"w{'x' * (i % 7)}" for i in range(1000))
-    parts, _ = abuse.passages(words + " you idiot")
-    assert any("idiot" in w for w, _ in parts) and sum(len(w) for w, _ in parts) >= 1002
+    p = abuse.Passages([words + " you idiot"])
+    assert any("idiot" in words_of(p, i) for i in range(len(p.size))) and p.size.sum() >= 1002 and p.size.max() == abuse.WINDOW
+
+
+def test_the_cut_comes_from_the_fit():
+    scores = np.array([0.9, 0.8, 0.7, 0.3, 0.2, 0.1])
+    assert abuse.choose_cut(scores, np.array([1.0, 1, 1, 0, 0, 0])) == 0.5
+    assert abuse.choose_cut(scores, np.array([1.0, 1, 0, 1, 0, 0])) == 0.75  # a harmless one weighs more
+    assert abuse.choose_cut(scores, np.zeros(6)) == abuse.choose_cut(np.array([]), np.array([])) == abuse.THRESHOLD
+    q = abuse.rater_errors(np.array([1.0, 1, 1, 0, 0, 0, 0, 0, 0.5]), np.array([2.0, 2, 2, 2, 2, 2, 2, 2, 2]))
+    assert (q[:3] > 0.9).all() and (q[3:8] < 0.1).all() and q[7] < q[8] < q[0]
 
 
 def test_isotonic_is_monotone_and_means_hold():
@@ -52,7 +72,7 @@ def test_held_out_accuracy():
     texts, y = sample(400)
     flip = [1 - v if i % 23 == 0 else v for i, v in enumerate(y)]  # raters err
     model = abuse.fit(texts[:300], flip[:300], [1] * 300)
-    found = model.score(texts[300:]) >= abuse.THRESHOLD
+    found = model.score(texts[300:]) >= model.cut
     assert (found == (np.array(y[300:]) > 0.5)).mean() >= 0.98
 
 
@@ -70,7 +90,7 @@ def test_no_labels_and_empty_tables(spark):
     assert abuse.score_documents(docs, model).count() == 1
     none = spark.createDataFrame([], "doc_id long, rater string, label string")
     assert abuse.labelled(docs, none).count() == 0
-    assert abuse.source_rates(abuse.score_documents(docs, model, ("source",))).first()["n_docs"] == 1
+    assert abuse.source_rates(abuse.score_documents(docs, model, ("source",)), model.cut).first()["n_docs"] == 1
 
 
 def test_labels_are_counted_once_and_nulls_not(spark):
