@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,21 +36,49 @@ def code_claim_links(claims: DataFrame, nodes: DataFrame, edges: DataFrame) -> t
     return evidence.where("promoted").select("code_id", "claim_id", "kind").distinct(), evidence
 
 
-def traceability(requirements: DataFrame, nodes: DataFrame, tests: DataFrame, jobs: DataFrame) -> DataFrame:
-    """from_id, to_id, kind, promoted: requirements implemented by code they name, covered by tests that name them, gated by jobs that run those tests."""
-    said = requirements.select("id", "requirement_id", F.explode(symbol_mentions(F.col("text"))).alias("symbol"))
-    code = said.join(nodes.select(F.col("id").alias("to_id"), F.regexp_replace("label", r"\(\)$", "").alias("symbol")), "symbol").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id", "symbol")))
-    links = code.select(F.col("id").alias("from_id"), "to_id", F.lit("requirement-implemented-by").alias("kind"), (F.col("n") == 1).alias("promoted"))
-    key = F.lower(F.regexp_replace("requirement_id", "[^A-Za-z0-9]+", "_"))
-    # a test names a requirement by a token of its own name: req_kg_015 in test_req_kg_015_orphans
-    words = tests.select("id", "source_path", F.split(F.lower("name"), "_").alias("w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(5), F.size("w") - i + 1)), lambda k: F.array_join(F.slice("w", i, k), "_"))))
-    covered = words.select(F.col("id").alias("to_id"), "source_path", F.explode(F.array_distinct(runs)).alias("key")).join(requirements.select(F.col("id").alias("from_id"), key.alias("key")), "key")
-    links = links.unionByName(covered.select("from_id", "to_id", F.lit("requirement-covered-by").alias("kind"), F.lit(True).alias("promoted")))
-    named = jobs.select(F.col("id").alias("to_id"), F.explode(F.regexp_extract_all("command", F.lit(r"([\w./-]+\.(?:py|rs|clj|cljs))"), 1)).alias("source_path"))
-    gated = covered.select("from_id", "source_path").distinct().join(named, "source_path").select("from_id", "to_id", F.lit("requirement-gated-by").alias("kind"), F.lit(True).alias("promoted"))
-    exercised = tests.join(nodes.select(F.col("id").alias("code"), F.regexp_extract("source_file", r"([^/]+)\.\w+$", 1).alias("target")), "target").select(F.col("id").alias("from_id"), F.col("code").alias("to_id"), F.lit("test-exercises-code").alias("kind"), F.lit(True).alias("promoted"))
-    return links.unionByName(gated).unionByName(exercised).distinct()
+def traceability(requirements: DataFrame, nodes: DataFrame, tests: DataFrame, jobs: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """from_id, to_id, kind, witness, promoted of the links between requirements, code, tests and jobs.
+
+    requirement-implemented-by: code whose symbol or source file the requirement's text names (promoted if one node has it).
+    requirement-covered-by: tests whose target is the requirement. workflow-runs-test: jobs whose command names the test's file.
+    requirement-gated-by: jobs that run a test of the requirement. test-exercises-code: code of the files that the test's file
+    imports. requirements: id, requirement_id, text. nodes: id, label, source_file. tests: id, target, source_path. jobs: id, command.
+    imports: source_path, module_path (the files that each test file imports).
+    """
+    says = requirements.select("id", F.explode(symbol_mentions(F.col("text"))).alias("witness"))
+    symbols = nodes.select(F.col("id").alias("to_id"), F.regexp_replace("label", r"\(\)$", "").alias("witness"))
+    paths = requirements.select("id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("`([^`]*/[^`]*)`"), 1), normal_path))).alias("witness"))
+    files = nodes.where(F.col("label") == F.regexp_extract("source_file", r"([^/]+)$", 1)).select(F.col("id").alias("to_id"), normal_path(F.col("source_file")).alias("witness"))
+    code = says.join(symbols, "witness").unionByName(paths.join(files, "witness")).distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id", "witness")))
+    row = lambda df, frm, to, kind, witness, sure=F.lit(True): df.select(F.col(frm).alias("from_id"), F.col(to).alias("to_id"), F.lit(kind).alias("kind"), F.col(witness).alias("witness"), sure.alias("promoted"))
+    covered = tests.join(requirements.select(F.col("id").alias("rid"), F.col("requirement_id").alias("target")), "target").select("rid", "id", "target", "source_path")
+    # a command names a file by its path or by the end of a longer one, cut at a slash
+    named = jobs.select(F.col("id").alias("job"), F.explode(F.regexp_extract_all("command", F.lit(r"([\w./\\-]+)"), 1)).alias("p")).select("job", F.split(normal_path(F.col("p")), "/").alias("w"))
+    ends = named.select("job", F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", i, F.size("w")), "/"))).alias("source_path")).distinct()
+    runs = ends.join(tests.select(F.col("id").alias("test"), "target", normal_path(F.col("source_path")).alias("source_path")), "source_path")
+    gated = runs.join(requirements.select(F.col("id").alias("rid"), F.col("requirement_id").alias("target")), "target").select("rid", "job", "source_path").distinct()
+    links = [row(code, "id", "to_id", "requirement-implemented-by", "witness", F.col("n") == 1), row(covered, "rid", "id", "requirement-covered-by", "target"),
+             row(runs, "job", "test", "workflow-runs-test", "source_path"), row(gated, "rid", "job", "requirement-gated-by", "source_path")]
+    if imports is not None:
+        used = imports.select("source_path", normal_path(F.col("module_path")).alias("witness")).distinct().join(files, "witness").join(tests.select(F.col("id").alias("test"), "source_path"), "source_path")
+        links.append(row(used, "test", "to_id", "test-exercises-code", "witness"))
+    return reduce(DataFrame.unionByName, links).distinct()
+
+
+def dominant_communities(nodes: DataFrame, links: DataFrame, chosen: DataFrame) -> DataFrame:
+    """rank, community, n_claims, first_claim: communities of code by the chosen claims that link to them, most first, ties by name.
+
+    nodes: id, community. links: code_id, claim_id. chosen: claim_id. Claims count once a community; the ranks are given over one row
+    per community. community_claims has the claims.
+    """
+    per = community_claims(nodes, links, chosen).groupBy("community").agg(F.count(F.lit(1)).alias("n_claims"), F.min("claim_id").alias("first_claim"))
+    return per.select(F.row_number().over(Window.orderBy(F.col("n_claims").desc(), "community")).alias("rank"), "community", "n_claims", "first_claim")
+
+
+def community_claims(nodes: DataFrame, links: DataFrame, chosen: DataFrame) -> DataFrame:
+    """community, claim_id of the chosen claims that link to its code, once each."""
+    own = nodes.where("community is not null").select(F.col("id").alias("code_id"), "community")
+    return links.select("code_id", "claim_id").distinct().join(chosen.select("claim_id").distinct(), "claim_id", "left_semi").join(own, "code_id").select("community", "claim_id").distinct()
 
 
 def run_design_query(catalog: GraphCatalog, name: str, target: str | None = None, min_rank: float = 0.9) -> DataFrame:

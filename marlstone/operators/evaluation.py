@@ -82,20 +82,116 @@ def rater_summary(scores: DataFrame, item: str, score: str) -> DataFrame:
     return scores.where(F.col(score).isNotNull()).groupBy(item).agg(F.count(F.lit(1)).alias("n"), F.round(F.median(score), 4).alias("median"), F.round(F.avg(score), 4).alias("mean"))
 
 
-def panel_verdicts(reports: DataFrame, panel: DataFrame) -> DataFrame:
-    """item, verdict (incomplete, fail, pass), critical, votes_for, votes against.
+#: The rules by which a panel decides.
+PANEL_RULES = ("any_critical_from_gating", "any_critical", "majority_critical")
 
-    reports: item, reviewer, vote (pass or fail), severity. panel: reviewer, role (gating or advisory); every
-    panel member must have reported on the item. A critical finding of a gating reviewer fails the item;
-    else the majority decides and a tie fails.
+
+def panel_verdicts(reports: DataFrame, panel: DataFrame, rule: str = "any_critical_from_gating") -> DataFrame:
+    """item, verdict (pass, soft-gate-fail, hard-gate-fail), gating_criticals, advisory_criticals, critical_reviewers.
+
+    reports: item, reviewer, critical (number of critical findings; null: the report could not be read). panel: reviewer,
+    role (gating or advisory). An item fails hard if a gating reviewer has no report, a report names a reviewer that the panel
+    does not know, or one could not be read: missing evidence is never counted as none. Else the rule decides: any critical
+    finding of a gating reviewer, any at all, or half of the gating reviewers or more with one. Findings of unknown reviewers
+    count as advisory. Other rules pass.
+    """
+    members = panel.groupBy("reviewer").agg(F.max((F.col("role") == "gating").cast("int")).alias("gating"))
+    size = members.agg(F.coalesce(F.sum("gating"), F.lit(0)).alias("n_gating"))
+    each = reports.groupBy("item", "reviewer").agg(F.sum("critical").alias("critical"), F.max(F.col("critical").isNull().cast("int")).alias("unread"))
+    j = each.join(members, "reviewer", "left")
+    n = F.coalesce("critical", F.lit(0))
+    s = j.groupBy("item").agg(
+        F.sum(F.when(F.col("gating") == 1, n).otherwise(0)).alias("gating_criticals"), F.sum(F.when(F.coalesce("gating", F.lit(0)) == 0, n).otherwise(0)).alias("advisory_criticals"),
+        F.sum(((F.col("gating") == 1) & (n > 0)).cast("int")).alias("critical_reviewers"), F.sum(((F.col("gating") == 1) & (F.col("unread") == 0)).cast("int")).alias("seen"),
+        F.max(F.col("gating").isNull().cast("int")).alias("unknown"), F.max("unread").alias("unread")).join(size, F.lit(True))
+    soft = {
+        "any_critical_from_gating": F.col("gating_criticals") > 0,
+        "any_critical": F.col("gating_criticals") + F.col("advisory_criticals") > 0,
+        "majority_critical": (F.col("critical_reviewers") > 0) & (F.col("critical_reviewers") * 2 >= F.col("n_gating")),
+    }.get(rule, F.lit(False))
+    hard = (F.col("seen") < F.col("n_gating")) | (F.col("unknown") == 1) | (F.col("unread") == 1)
+    return s.select("item", F.when(hard, "hard-gate-fail").when(soft, "soft-gate-fail").otherwise("pass").alias("verdict"), "gating_criticals", "advisory_criticals", "critical_reviewers")
+
+
+def ballots(left: DataFrame, right: DataFrame, tolerance: float = 0.15) -> DataFrame:
+    """prompt_id, register, order (0, 1), length_matched, a_arm, a_text, b_arm, b_text: every prompt that both arms answer, in both orders.
+
+    left, right: prompt_id, register, text, arm; one row per prompt. Lengths in words match if they differ by at most
+    ``tolerance`` of the longer; an empty text matches none. The register is the left arm's.
+    """
+    words = lambda c: F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"\S+"))
+    j = left.select("prompt_id", "register", F.col("text").alias("lt"), F.col("arm").alias("la")).join(right.select("prompt_id", F.col("text").alias("rt"), F.col("arm").alias("ra")), "prompt_id")
+    wl, wr = words(F.col("lt")), words(F.col("rt"))
+    matched = (wl > 0) & (wr > 0) & (F.abs(wl - wr) <= F.greatest(wl, wr) * tolerance)
+    side = lambda o, a, at, b, bt: F.struct(F.lit(o).alias("order"), F.col(a).alias("a_arm"), F.col(at).alias("a_text"), F.col(b).alias("b_arm"), F.col(bt).alias("b_text"))
+    both = F.array(side(0, "la", "lt", "ra", "rt"), side(1, "ra", "rt", "la", "lt"))
+    return j.select("prompt_id", "register", matched.alias("length_matched"), F.explode(both).alias("b")).select("prompt_id", "register", "b.order", "length_matched", "b.a_arm", "b.a_text", "b.b_arm", "b.b_text")
+
+
+def decode_ballots(filled: DataFrame) -> DataFrame:
+    """filled ballots with kept_arm: the arm behind ``keep`` (A or B), null for anything else."""
+    return filled.withColumn("kept_arm", F.when(F.col("keep") == "A", F.col("a_arm")).when(F.col("keep") == "B", F.col("b_arm")))
+
+
+def run_summary(runs: DataFrame, k: int = 5) -> DataFrame:
+    """part, name, value of benchmark runs: total, reach_extract and reach_ci shares, the k commonest doc gaps and failures.
+
+    runs: outcome, extract_passed (text or null), doc_gaps (names parted by semicolons). Equal counts come in the order of names.
     """
-    r = reports.join(panel.select("reviewer", "role"), "reviewer")
-    size = panel.agg(F.count_distinct("reviewer").alias("members"))
-    s = r.groupBy("item").agg(
-        F.count_distinct("reviewer").alias("seen"), F.sum(((F.col("severity") == "critical") & (F.col("role") == "gating")).cast("int")).alias("gating_critical"),
-        F.sum((F.col("severity") == "critical").cast("int")).alias("critical"), F.sum((F.col("vote") == "pass").cast("int")).alias("votes_for"), F.sum((F.col("vote") == "fail").cast("int")).alias("votes_against")).join(size, F.lit(True))
-    verdict = F.when(F.col("seen") < F.col("members"), "incomplete").when(F.col("gating_critical") > 0, "fail").when(F.col("votes_for") > F.col("votes_against"), "pass").otherwise("fail")
-    return s.select("item", verdict.alias("verdict"), "critical", "votes_for", "votes_against")
+    got = F.coalesce(F.col("extract_passed") != "", F.lit(False))
+    s = runs.agg(F.count(F.lit(1)).alias("n"), F.sum(got.cast("int")).alias("e"), F.sum((F.col("outcome") == "SUCCESS").cast("int")).alias("c"))
+    share = lambda c: F.coalesce(F.try_divide(F.coalesce(c, F.lit(0)), F.col("n")), F.lit(0.0))
+    heads = s.select(F.explode(F.array(*[F.struct(F.lit("summary").alias("part"), F.lit(name).alias("name"), v.cast("double").alias("value")) for name, v in (
+        ("total", F.col("n")), ("reach_extract", share("e")), ("reach_ci", share("c")))])).alias("r")).select("r.*")
+
+    def top(df: DataFrame, part: str) -> DataFrame:
+        best = df.where("name <> ''").groupBy("name").agg(F.count(F.lit(1)).cast("double").alias("value")).orderBy(F.col("value").desc(), "name").limit(k)
+        return best.select(F.lit(part).alias("part"), "name", "value")
+
+    gaps = runs.select(F.explode(F.split(F.coalesce("doc_gaps", F.lit("")), ";")).alias("g")).select(F.trim("g").alias("name"))
+    return heads.unionByName(top(gaps, "doc gap")).unionByName(top(runs.where("outcome <> 'SUCCESS'").select(F.col("outcome").alias("name")), "failure"))
+
+
+def positions(evidence: DataFrame, members: DataFrame, charters: DataFrame | None = None, least_support: int = 2, least_contra: int = 1) -> DataFrame:
+    """rule, school, stance (supports, contradicts, extends, silent), n_support, n_contra, declared: where each school stands on each rule.
+
+    evidence: rule, doc_id, stance (support or contradict). members: school, doc_id. charters: school, rule, asserts (true:
+    asserts, false: rejects), which decide before any evidence. Documents count once. A school is silent on a rule that its
+    documents do not touch, so rules and schools meet in full; both lists are names of groups, not of rows.
+    """
+    per = evidence.select("rule", "doc_id", "stance").distinct().join(members.select("school", "doc_id").distinct(), "doc_id").groupBy("rule", "school").agg(
+        F.sum((F.col("stance") == "support").cast("int")).alias("n_support"), F.sum((F.col("stance") == "contradict").cast("int")).alias("n_contra"))
+    every = evidence.select("rule").distinct().join(members.select("school").distinct(), F.lit(True))
+    j = every.join(per, ["rule", "school"], "left").select("rule", "school", F.coalesce("n_support", F.lit(0)).alias("n_support"), F.coalesce("n_contra", F.lit(0)).alias("n_contra"))
+    said = F.lit(None).cast("boolean")
+    if charters is not None:
+        j, said = j.join(charters.groupBy("rule", "school").agg(F.max("asserts").alias("_said")), ["rule", "school"], "left"), F.col("_said")
+    s, c = F.col("n_support"), F.col("n_contra")
+    stance = F.when(said, "supports").when(~said, "contradicts").when((s >= least_support) & (c == 0), "supports").when((s == 0) & (c >= least_contra), "contradicts").when((s > 0) & (c == 0), "extends").otherwise("silent")
+    return j.select("rule", "school", stance.alias("stance"), "n_support", "n_contra", said.isNotNull().alias("declared"))
+
+
+def disputed_questions(claims: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """topic, question (smaller claim against the larger), claim_id, stance (asserts, denies), source_id: a row per side and source of each conflict within a topic.
+
+    claims: claim_id, topic, source_id (a row per source; null: none). conflicts: claim_id, other_id, either way once.
+    """
+    pair = conflicts.where("claim_id <> other_id").select(F.least("claim_id", "other_id").alias("a"), F.greatest("claim_id", "other_id").alias("b")).distinct()
+    topics = claims.select("claim_id", "topic").where("topic is not null").distinct()
+    same = pair.join(topics.select(F.col("claim_id").alias("a"), "topic"), "a").join(topics.select(F.col("claim_id").alias("b"), "topic"), ["b", "topic"])
+    sides = same.select("topic", F.concat_ws(" against ", "a", "b").alias("question"), F.explode(F.array(F.struct(F.col("a").alias("claim_id"), F.lit("asserts").alias("stance")), F.struct(F.col("b").alias("claim_id"), F.lit("denies").alias("stance")))).alias("s"))
+    return sides.select("topic", "question", "s.claim_id", "s.stance").join(claims.select("claim_id", "topic", "source_id").distinct(), ["claim_id", "topic"]).select("topic", "question", "claim_id", "stance", "source_id")
+
+
+def defect_neighbours(defects: DataFrame, queries: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame:
+    """constraint, subject, claim_id, neighbour, score, rank: the k most similar other claims of every claim that bears a failed check.
+
+    defects: constraint, subject, claim_id. queries: the claims' vectors (vec_id, embedding); vectors: those of all claims.
+    """
+    from marlstone.operators.retrieval import top_k
+
+    near = top_k(queries, vectors, k)
+    return defects.join(near.withColumnRenamed("query", "claim_id"), "claim_id").select("constraint", "subject", "claim_id", F.col("item").alias("neighbour"), "score", "rank")
 
 
 def dedup_findings(findings: DataFrame) -> DataFrame:
@@ -159,8 +255,17 @@ def governance(votes: DataFrame, rules: DataFrame) -> DataFrame:
     return j.select("rule", F.coalesce("pros", F.lit(0)).alias("pros"), F.coalesce("cons", F.lit(0)).alias("cons"), state.alias("state"))
 
 
-def consensus(positions: DataFrame, schools: list[str]) -> DataFrame:
-    """rule by school: the prevailing stance of each cell (support, contradict, mixed)."""
+#: Schools that a table of consensus may have as columns.
+MOST_SCHOOLS = 200
+
+
+def consensus(positions: DataFrame, schools: list[str] | None = None) -> DataFrame:
+    """rule by school: the prevailing stance of each cell (support, contradict, mixed). Without schools all of the table, at most MOST_SCHOOLS."""
+    if schools is None:
+        found = [r[0] for r in positions.select("school").where("school is not null").distinct().orderBy("school").limit(MOST_SCHOOLS + 1).collect()]
+        if len(found) > MOST_SCHOOLS:
+            raise ValueError(f"more than {MOST_SCHOOLS} schools")
+        schools = found
     s = positions.groupBy("rule").pivot("school", schools).agg(F.sum(F.when(F.col("stance") == "support", 1).when(F.col("stance") == "contradict", -1).otherwise(0)))
     return s.select("rule", *[F.when(F.col(f"`{x}`") > 0, "support").when(F.col(f"`{x}`") < 0, "contradict").when(F.col(f"`{x}`") == 0, "mixed").alias(x) for x in schools])
 

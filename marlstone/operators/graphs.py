@@ -9,7 +9,7 @@ from __future__ import annotations
 from itertools import permutations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.storage import Scratch
@@ -25,10 +25,12 @@ def reaches(edges: DataFrame, targets: DataFrame) -> DataFrame:
     while not front.isEmpty():
         n += 1
         nxt = e.join(front.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("steps", F.lit(n))
-        front = scratch.keep(nxt)
+        before, front = front, scratch.keep(nxt)
         if front.isEmpty():
             break
-        seen = scratch.keep(seen.unionByName(front))
+        old, seen = seen, scratch.keep(seen.unionByName(front))
+        for gone in (before, old):  # read by nothing any more; the first round has one table for both
+            scratch.drop(gone)
     return seen
 
 
@@ -139,14 +141,18 @@ def shortest_trails(edges: DataFrame, starts: DataFrame) -> DataFrame:
     found, n = None, 0
     while True:
         done = front.join(has_parent, "at", "left_anti").groupBy("id").agg(F.min("trail").alias("trail")).withColumn("steps", F.lit(n))
-        found = scratch.keep(done if found is None else found.unionByName(done))
+        last, found = found, scratch.keep(done if found is None else found.unionByName(done))
+        if last is not None:
+            scratch.drop(last)
         open_ = front.join(found.select("id"), "id", "left_anti")
         step = open_.join(e.select(F.col("dst").alias("at"), F.col("src").alias("up")), "at").groupBy("id", F.col("up").alias("at")).agg(
             F.min(F.concat_ws(" < ", "trail", F.col("up").cast("string"))).alias("trail"))
-        front = scratch.keep(step.join(seen, ["id", "at"], "left_anti"))
+        before, front = front, scratch.keep(step.join(seen, ["id", "at"], "left_anti"))
         if front.isEmpty():
             return found
-        seen = scratch.keep(seen.unionByName(front.select("id", "at")))
+        old, seen = seen, scratch.keep(seen.unionByName(front.select("id", "at")))
+        scratch.drop(before)
+        scratch.drop(old)
         n += 1
 
 
@@ -195,10 +201,12 @@ def transitive_contradictions(implies: DataFrame, facts: DataFrame) -> DataFrame
     held = front = scratch.keep(states.select(F.col("id").alias("a"), "subject", "value"))
     while True:
         step = front.join(e, front["a"] == e["target_id"]).select(F.col("claim_id").alias("a"), "subject", "value").distinct().join(held, ["a", "subject", "value"], "left_anti")
-        front = scratch.keep(step)
+        before, front = front, scratch.keep(step)
         if front.isEmpty():
             break
-        held = scratch.keep(held.unionByName(front))
+        old, held = held, scratch.keep(held.unionByName(front))
+        for gone in (before, old):
+            scratch.drop(gone)
     values = states.groupBy("subject").agg(F.count_distinct("value").alias("n_values"))
     return held.join(values, "subject").where("n_values > 1").select("a", "subject", "value", (F.col("n_values") - 1).alias("against"))
 
@@ -218,5 +226,5 @@ def concept_clusters(forms: DataFrame) -> DataFrame:
     low = forms.where("slug is not null and form is not null").select("slug", F.lower(F.trim("form")).alias("form")).distinct()
     least = low.groupBy("form").agg(F.min("slug").alias("src"))
     found = components(low.join(least, "form").select("src", F.col("slug").alias("dst")))
-    sized = found.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("component")))
-    return sized.where("size > 1").select(F.col("component").alias("cluster"), F.col("id").alias("slug"), "size")
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return found.join(sizes, "component").select(F.col("component").alias("cluster"), F.col("id").alias("slug"), "size")

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from marlstone.storage import Scratch
 
+#: Trees with a thousandth of all steps or more; there cannot be more than a thousand of them.
+LARGE_TREES = 1_000
 #: Children of one parent that one task orders at a time.
 SIBLINGS_PER_TASK = 10_000
 
@@ -30,7 +32,7 @@ def latest_links(df: DataFrame, node: str, parent: str, revised: str | None) ->
 
 
 def nested_sets(links: DataFrame, siblings_per_task: int = SIBLINGS_PER_TASK) -> DataFrame:
-    """Root, depth and nested-set range of each node.
+    """Root, depth and nested-set range of each node, by list ranking instead of subtree sizes level by level (see the module).
 
     links: node, parent (strings, one row per node, see latest_links). A parent that is null,
     blank or no node makes a root of depth 0. Siblings are ordered by a hash bucket and the key.
@@ -57,9 +59,13 @@ def nested_sets(links: DataFrame, siblings_per_task: int = SIBLINGS_PER_TASK) ->
     # the root's own range spans its tree: its tour starts with everything still to come
     roots = both.join(nodes.where("pid is null").select("id", F.col("node").alias("root")), "id").select(
         F.col("tail"), F.col("a").alias("a0"), "root")
+    # a large tree is one key for all its nodes: its root is sent along instead; at most LARGE_TREES hold that share of the steps
+    large = roots.where(F.col("a0") + 1 >= max(2, -(-2 * n // LARGE_TREES))).select("tail", F.col("a0").alias("large_a0"), F.col("root").alias("large_root"))
+    both = both.join(F.broadcast(large), "tail", "left").withColumn("tail", F.when(F.col("large_root").isNull(), F.col("tail")).otherwise(-F.col("id") - 1))
     names = ids.select(F.col("id").alias("pid"), F.col("node").alias("parent"))
     trees = (
-        both.join(roots, "tail")
+        both.join(roots, "tail", "left")
+        .withColumns({"a0": F.coalesce("large_a0", "a0"), "root": F.coalesce("large_root", "root")})
         .join(nodes, "id")
         .join(names, "pid", "left")
         .select(

@@ -175,3 +175,36 @@ def seams(docs: DataFrame, by: str, order: str = "doc_id", width: int = 1_000_00
     d = d.withColumn("first", content_words(F.col("s")[0])).withColumn("last", content_words(F.element_at("s", -1))).drop("s")
     j = lag_in_buckets(d, by, "_o", ["last"], width)
     return j.where("before is not null").select(by, "doc_id", F.size(F.array_intersect("first", "before.last")).alias("shared"))
+
+
+#: Words that open a turn of talk, words of address, marks of an example.
+DISCOURSE = ["but", "so", "now", "then", "because", "however", "instead", "therefore", "and", "yet", "still", "here"]
+ADDRESS = ["you", "your", "you're", "let's", "we", "our"]
+EXAMPLES = ["for example", "for instance", "imagine", "picture", "think about", "consider", "watch", "say"]
+_EXAMPLE = r"(?i)(?<![\p{L}\p{N}_])(" + "|".join(EXAMPLES) + r")(?![\p{L}\p{N}_])"
+
+
+def diction(docs: DataFrame) -> DataFrame:
+    """doc_id, n_sentences, discourse_rate, address_rate, short_long_ratio, example_spacing, modifier_ratio, six decimals.
+
+    Rates are shares of sentences that open with a discourse word, and that hold a word of address; short has six words at
+    most and long twenty at least (without long ones the number of short ones); spacing is the mean distance between sentences with
+    a mark of an example, 0 below two. modifier_ratio is the mean share of modifiers (approximate, by ending) over sentences of
+    eight words or more. Documents without sentences give no row.
+    """
+    s = docs.where("text is not null").select("doc_id", T.sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
+    one = F.transform("s", lambda x: F.struct(F.regexp_extract_all(F.lower(x), F.lit(r"([\p{L}\p{N}_]+(?:'[\p{L}]+)?)"), 1).alias("w"), x.rlike(_EXAMPLE).alias("e")))
+    p = s.select("doc_id", one.alias("s"), F.size("s").alias("n"))
+    listed = lambda words: F.array(*[F.lit(w) for w in words])
+    count = lambda f: F.size(F.filter("s", f))
+    at = F.array_compact(F.transform("s", lambda x, i: F.when(x["e"], i)))
+    long_ = count(lambda x: F.size(x["w"]) >= 20)
+    short = count(lambda x: F.size(x["w"]).between(1, 6))
+    eligible = F.filter("s", lambda x: F.size(x["w"]) >= 8)
+    share = F.transform(eligible, lambda x: F.size(F.filter(x["w"], lambda w: w.rlike("(ly|ous|ful|ive|al|less|able)$"))) / F.size(x["w"]))
+    spacing = F.when(F.size("at") > 1, (F.array_max("at") - F.array_min("at")) / (F.size("at") - 1)).otherwise(0.0)
+    q = p.select("doc_id", F.col("n").alias("n_sentences"), count(lambda x: F.array_contains(listed(DISCOURSE), F.coalesce(F.try_element_at(x["w"], F.lit(1)), F.lit("")))).alias("d"),
+                 count(lambda x: F.arrays_overlap(x["w"], listed(ADDRESS))).alias("a"), short.alias("short"), long_.alias("long"), at.alias("at"), F.coalesce(T.mean(share), F.lit(0.0)).alias("m"))
+    r = lambda c, name: F.round(c, 6).alias(name)
+    return q.select("doc_id", "n_sentences", r(F.col("d") / F.col("n_sentences"), "discourse_rate"), r(F.col("a") / F.col("n_sentences"), "address_rate"),
+                    r(F.when(F.col("long") > 0, F.col("short") / F.col("long")).otherwise(F.col("short").cast("double")), "short_long_ratio"), r(spacing, "example_spacing"), r(F.col("m"), "modifier_ratio"))

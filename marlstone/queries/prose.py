@@ -18,6 +18,25 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text", "source", "doc_kind", "chapter_id")
 
 
+def _manuscripts(spark: SparkSession, d: str) -> DataFrame:
+    """The documents and a made manuscript per nation (doc_id below 0), since no document holds lists, notes or markup."""
+    k = F.col("n_nationkey")
+    made = table(spark, d, "nation").select(
+        (-1 - k).cast("long").alias("doc_id"),
+        F.concat(
+            F.lit("# Chapter "), k, F.lit(": "), F.col("n_name"), F.when(k % 2 == 0, "\n\n### Deep\n\n").otherwise("\n\n## Flat\n\n"),
+            F.when(k % 3 == 0, "- The oak\n- The ash\n- The elm\n\n").otherwise("- Walking home\n- What is it\n\n"),
+            F.when(k % 5 == 0, "Noted.[^a] Again.[^b]\n\n[^a]: one\n\n[^c]: two\n\n").otherwise("Noted.[^a]\n\n[^a]: one\n\n"),
+            F.when(k % 4 == 0, 'See <a class="footnote-ref" id="fnref-1">1</a> and <a class="footnote-ref" id="fnref-2">2</a>.<li id="fn-1">x</li>\n\n').otherwise(""),
+            F.when(k % 7 == 0, "Open [clm-2016-000001] here.\n\n<div>\n## In a block\n</div>\n").otherwise("Done.\n")).alias("text"),
+        F.lit("made").alias("source"), F.lit("manuscript").alias("doc_kind"), F.lit(None).cast("string").alias("chapter_id"))
+    return _docs(spark, d).unionByName(made)
+
+
+def _over_manuscripts(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: f(_manuscripts(spark, d))
+
+
 def _over(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: f(_docs(spark, d))
 
@@ -102,8 +121,8 @@ QUERIES: dict[str, Query] = {
     "lint_staccato": _over(lint.staccato),
     "lint_repeated_antithesis": _over(lint.repeated_antithesis),
     "lint_unattributed_numbers": _over(lint.unattributed_numbers),
-    "lint_list_anaphora": _over(lint.list_anaphora),
-    "lint_footnotes": _over(lint.footnotes),
+    "lint_list_anaphora": _over_manuscripts(lint.list_anaphora),
+    "lint_footnotes": _over_manuscripts(lint.footnotes),
     "lint_reading_grades": _over(lint.reading_grades),
     "lint_abstraction": _over(lint.abstraction),
     "lint_analogy_absent": _over(lint.analogy_absent),
@@ -111,11 +130,11 @@ QUERIES: dict[str, Query] = {
     "lint_curiosity_absent": _over(lint.curiosity_absent),
     "lint_signal_density": _over(lint.signal_density),
     "lint_concrete_instances": _over(lint.concrete_instances),
-    "lint_parallel_lists": _over(lint.parallel_lists),
+    "lint_parallel_lists": _over_manuscripts(lint.parallel_lists),
     "lint_headings": _over(lint.headings),
-    "lint_heading_jumps": _over(lint.heading_jumps),
-    "lint_manuscript": _over(lint.manuscript_defects),
-    "lint_cross_references": _over(lint.cross_references),
+    "lint_heading_jumps": _over_manuscripts(lint.heading_jumps),
+    "lint_manuscript": _over_manuscripts(lint.manuscript_defects),
+    "lint_cross_references": _over_manuscripts(lint.cross_references),
     "lint_citations": _over(lint.citation_presence),
     "lint_title_case": _over(lint.title_case_concepts),
     "style_profile": style_profile,
@@ -221,3 +240,12 @@ SQL |= {
         SELECT doc_id, count(*) AS n_paragraphs, round(count(*) FILTER (flat) / count(*), 6) AS flat_share, count(*) FILTER (flat) / count(*) > 0.7 AS is_flat FROM f GROUP BY doc_id""",
     "lint_concrete_instances": rf"""WITH {_PP} SELECT doc_id, len(p) AS n_paragraphs, len(list_filter(p, lambda x: regexp_matches(x, '\d|"[^"]+"|[a-z,;] [A-Z][a-z]+|\b(for example|for instance|such as)\b'))) AS with_instance FROM pp WHERE len(p) > 0""",
 }
+# what the made manuscripts hold by their making; the documents hold nothing of the kind
+_MADE = "m AS (SELECT CAST(-1 - n_nationkey AS BIGINT) AS doc_id, CAST(n_nationkey AS BIGINT) AS k FROM nation)"
+SQL |= {
+    "lint_heading_jumps": f"WITH {_MADE} SELECT doc_id, 3 AS line, 1 AS from_level, 3 AS to_level FROM m WHERE k % 2 = 0",
+    "lint_list_anaphora": f"WITH {_MADE} SELECT doc_id, 5 AS line, 'The' AS first_word, 3 AS n FROM m WHERE k % 3 = 0",
+    "lint_parallel_lists": f"WITH {_MADE} SELECT doc_id, 'gerund,question' AS shapes FROM m WHERE k % 3 <> 0",
+    "lint_footnotes": f"WITH {_MADE} SELECT doc_id, 'orphan-marker' AS rule, CAST(NULL AS INTEGER) AS line, 'b' AS detail FROM m WHERE k % 5 = 0 UNION ALL SELECT doc_id, 'orphan-definition', NULL, 'c' FROM m WHERE k % 5 = 0",
+    "lint_cross_references": f"WITH {_MADE} SELECT doc_id, 'D3' AS rule, CAST(NULL AS INTEGER) AS line, 'no definition for 2' AS detail FROM m WHERE k % 4 = 0",
+}

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.operators import argument, belief, design, evaluation, graphs, induction, ledger, ordered, retrieval
 from marlstone.plans.catalog import GraphCatalog
@@ -285,9 +286,14 @@ def test_attribution_and_factuality(spark):
 
 
 def test_panels_and_rollups(spark):
-    panel = spark.createDataFrame([("g", "gating"), ("h", "advisory"), ("i", "advisory")], "reviewer string, role string")
-    r = spark.createDataFrame([(i, w, v, s) for i, votes in {"ok": "ppf", "bad": "ppp", "tie": "pff", "few": "pp"}.items() for w, v, s in zip("ghi", ["pass" if c == "p" else "fail" for c in votes], ["critical" if i == "bad" else "minor", "critical", None])], "item string, reviewer string, vote string, severity string")
-    assert rows(evaluation.panel_verdicts(r, panel), "item", "verdict") == {("ok", "pass"), ("bad", "fail"), ("tie", "fail"), ("few", "incomplete")}
+    panel = spark.createDataFrame([("g", "gating"), ("h", "gating"), ("i", "advisory")], "reviewer string, role string")
+    said = {"ok": (0, 0, 0), "gating": (1, 0, 0), "advisory": (0, 0, 2), "missing": (0,), "both": (1, 3, 0)}
+    r = spark.createDataFrame([(i, w, c) for i, n in said.items() for w, c in zip("ghi", n)] + [("unknown", w, 0) for w in "ghx"] + [("unread", "g", None), ("unread", "h", 0)], "item string, reviewer string, critical int")
+    verdicts = lambda rule: {k: v for k, v in rows(evaluation.panel_verdicts(r, panel, rule), "item", "verdict")}
+    hard = {k: "hard-gate-fail" for k in ("missing", "unknown", "unread")}
+    assert verdicts("any_critical_from_gating") == hard | {"ok": "pass", "gating": "soft-gate-fail", "advisory": "pass", "both": "soft-gate-fail"}
+    assert verdicts("any_critical") == hard | {"ok": "pass", "gating": "soft-gate-fail", "advisory": "soft-gate-fail", "both": "soft-gate-fail"}
+    assert verdicts("majority_critical") == hard | {"ok": "pass", "gating": "soft-gate-fail", "advisory": "pass", "both": "soft-gate-fail"}  # a tie does not pass
     f = spark.createDataFrame([(" A b", "minor", "x", "l1"), ("a B ", "minor", "y", "l1"), (None, "minor", "z", "l2")], "text string, severity string, reviewer string, location string")
     assert rows(evaluation.dedup_findings(f)) == {("a b", "minor", 2, 2)} and rows(evaluation.convergence(f)) == {("l1", 2)}
     g = spark.createDataFrame([("d", 1, 9), ("d", 2, 3), ("d", 13, 14), ("d", 20, 20), ("e", 1, 1)], "g string, s int, e int")
@@ -359,6 +365,39 @@ def test_induction(spark):
     assert induction.enumerate_bodies({"a": "n", "b": "n", "c": "m"}, 2) == [("a",), ("b",), ("c",), ("a", "b")]
 
 
+def test_traceability_and_communities(spark):
+    reqs = spark.createDataFrame([("r1", "REQ-1", "uses `load` of `src/io.py`"), ("r2", "REQ-A-VERY-LONG-NAME-OF-MANY-PARTS-2", None)], "id string, requirement_id string, text string")
+    nodes = spark.createDataFrame([("m", "io.py", "src/io.py"), ("f", "load()", "src/io.py"), ("g", "load()", "src/b.py")], "id string, label string, source_file string")
+    tests = spark.createDataFrame([("t1", "REQ-1", "tests/test_a.py"), ("t2", "REQ-A-VERY-LONG-NAME-OF-MANY-PARTS-2", "tests/test_b.py"), ("t3", None, "tests/test_a.py")], "id string, target string, source_path string")
+    jobs = spark.createDataFrame([("j1", "pytest -q tools/tests/test_a.py"), ("j2", "make all"), ("j3", None)], "id string, command string")
+    used = spark.createDataFrame([("tests/test_a.py", "./src/io.py"), ("tests/test_b.py", "os.py")], "source_path string, module_path string")
+    got = rows(design.traceability(reqs, nodes, tests, jobs, used), "from_id", "to_id", "kind", "promoted")
+    assert got == {("r1", "f", "requirement-implemented-by", False), ("r1", "g", "requirement-implemented-by", False), ("r1", "m", "requirement-implemented-by", True),
+                   ("r1", "t1", "requirement-covered-by", True), ("r2", "t2", "requirement-covered-by", True), ("j1", "t1", "workflow-runs-test", True), ("j1", "t3", "workflow-runs-test", True),
+                   ("r1", "j1", "requirement-gated-by", True), ("t1", "m", "test-exercises-code", True), ("t3", "m", "test-exercises-code", True)}
+    owned = spark.createDataFrame([("m", "x"), ("f", "x"), ("g", "y"), ("h", None)], "id string, community string")
+    links = spark.createDataFrame([("m", "c1"), ("f", "c1"), ("f", "c2"), ("g", "c1"), ("g", "c3"), ("h", "c2")], "code_id string, claim_id string")
+    chosen = spark.createDataFrame([("c1",), ("c2",)], "claim_id string")
+    assert rows(design.dominant_communities(owned, links, chosen)) == {(1, "x", 2, "c1"), (2, "y", 1, "c1")}
+
+
+def test_ballots_positions_and_questions(spark):
+    arm = lambda name, texts: spark.createDataFrame([(k, "plain", t, name) for k, t in texts.items()], "prompt_id string, register string, text string, arm string")
+    b = evaluation.ballots(arm("v1", {"a": "one two three", "b": "one two three", "c": ""}), arm("v2", {"a": "x y z", "b": "x", "c": "x", "d": "x"}))
+    assert rows(b, "prompt_id", "order", "length_matched", "a_arm", "b_arm") == {(p, o, p == "a", *(("v1", "v2") if o == 0 else ("v2", "v1"))) for p in "abc" for o in (0, 1)}
+    assert rows(evaluation.decode_ballots(b.where("prompt_id = 'a'").withColumn("keep", F.lit("B"))), "order", "kept_arm") == {(0, "v2"), (1, "v1")}
+    runs = spark.createDataFrame([("SUCCESS", "t", "a; b"), ("LINT", None, "a;;"), ("LINT", "", None), (None, "t", "")], "outcome string, extract_passed string, doc_gaps string")
+    assert rows(evaluation.run_summary(runs)) == {("summary", "total", 4.0), ("summary", "reach_extract", 0.5), ("summary", "reach_ci", 0.25), ("doc gap", "a", 2.0), ("doc gap", "b", 1.0), ("failure", "LINT", 2.0)}
+    ev = spark.createDataFrame([("r", "d1", "support"), ("r", "d2", "support"), ("r", "d1", "support"), ("s", "d1", "support"), ("s", "d3", "contradict"), ("t", "d3", "contradict")], "rule string, doc_id string, stance string")
+    mem = spark.createDataFrame([("x", "d1"), ("x", "d2"), ("y", "d3")], "school string, doc_id string")
+    ch = spark.createDataFrame([("y", "r", False)], "school string, rule string, asserts boolean")
+    assert rows(evaluation.positions(ev, mem, ch), "rule", "school", "stance", "declared") == {
+        ("r", "x", "supports", False), ("r", "y", "contradicts", True), ("s", "x", "extends", False), ("s", "y", "contradicts", False), ("t", "x", "silent", False), ("t", "y", "contradicts", False)}
+    c = spark.createDataFrame([("1", "t", "s1"), ("2", "t", "s2"), ("2", "t", None), ("3", "u", "s3")], "claim_id string, topic string, source_id string")
+    k = spark.createDataFrame([("2", "1"), ("1", "2"), ("1", "3"), ("1", "1")], "claim_id string, other_id string")
+    assert rows(evaluation.disputed_questions(c, k)) == {("t", "1 against 2", "1", "asserts", "s1"), ("t", "1 against 2", "2", "denies", "s2"), ("t", "1 against 2", "2", "denies", None)}
+
+
 def test_code_links_and_design_queries(spark):
     nodes = spark.createDataFrame([("m", "io.py", "src/io.py"), ("f", "load()", "src/io.py"), ("g", "save()", "src/a.py"), ("h", "save()", "src/b.py")], "id string, label string, source_file string")
     e = spark.createDataFrame([("m", "f", "contains")], "source_id string, target_id string, relationship string")
