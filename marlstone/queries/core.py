@@ -237,12 +237,18 @@ SQL: dict[str, str] = {
     "p1_found": f"WITH {_P1} SELECT ref_table, ref_key, ref_field, target_key, reason FROM o WHERE reason IS NOT NULL",
     "p1_report": f"WITH {_P1} SELECT ref_table, ref_field, strftime(make_timestamp(CAST(us AS BIGINT)), '%Y-%m') AS month, reason, count(*) AS n_references FROM o WHERE reason IS NOT NULL GROUP BY ALL",
     "p2_found": f"WITH {_P2} SELECT DISTINCT record_id, claim_id, child, CAST(row_number() OVER (PARTITION BY o ORDER BY id, sub) - 1 AS INTEGER) AS pos, k AS child_key FROM al",
+    "p2_nodes": f"""WITH {_P2}, q AS (SELECT record_id, no, id, key, type, regexp_replace(fullkey, '\\[[0-9]+\\]', '[]', 'g') AS path, atom, key IN ('source_spans') AND type = 'VARCHAR' AND regexp_matches(json_extract_string(atom, '$'), '^\\s*[\\[{{]') AND json_valid(json_extract_string(atom, '$')) AS inner_json FROM doc, json_tree(doc.j)),
+        e AS (SELECT record_id, no, path AS base, CAST(json_extract_string(atom, '$') AS JSON) AS j FROM q WHERE inner_json), a AS (SELECT record_id, path, type FROM q WHERE NOT inner_json
+            UNION ALL SELECT e.record_id, e.base || substr(regexp_replace(t.fullkey, '\\[[0-9]+\\]', '[]', 'g'), 2), t.type FROM e, json_tree(e.j) t)
+        SELECT replace(path, '"', '') AS path, CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'bool' WHEN 'VARCHAR' THEN 'text' ELSE 'number' END AS kind, count(*) AS n_nodes, count(DISTINCT record_id) AS n_records FROM a GROUP BY 1, 2""",
     "p3_found": f"WITH {_P3} SELECT claim_id, status, valid_from AS valid_from_us FROM q",
     "p3_history": f"WITH {_P3} SELECT claim_id, status, valid_from, lead(valid_from) OVER (PARTITION BY claim_id ORDER BY valid_from) AS valid_to, n_records FROM q",
     "p7_found": f"""WITH {CLAIMS_AT}, {COUNTERS_AT} SELECT 'claims' AS source_table, CAST(ledger_seq AS VARCHAR) AS record_key, CAST(us AS BIGINT) AS utc_us FROM ci_at WHERE us IS NOT NULL
         UNION SELECT 'counter_claims', lower(trim(id)), CAST(us AS BIGINT) FROM cj_at WHERE us IS NOT NULL""",
     "p4_found": f"WITH {_P4} SELECT * FROM ch WHERE change IS NOT NULL",
     "p4_counts": f"WITH {_P4} SELECT snapshot_id, change, count(*) AS n_claims FROM ch WHERE change IS NOT NULL GROUP BY 1, 2",
+    "p6_paths": """WITH RECURSIVE n AS (SELECT lower(trim(node_id)) AS node, lower(trim(parent_id)) AS parent FROM thesis_nodes WHERE node_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(trim(node_id)) ORDER BY revised_at DESC) = 1),
+        t AS (SELECT node, node AS path FROM n WHERE parent IS NULL OR parent NOT IN (SELECT node FROM n) UNION ALL SELECT n.node, t.path || '/' || n.node FROM n JOIN t ON n.parent = t.node) SELECT node, path FROM t""",
     "p6_found": """WITH RECURSIVE n AS (SELECT lower(trim(node_id)) AS node, lower(trim(parent_id)) AS parent FROM thesis_nodes WHERE node_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(trim(node_id)) ORDER BY revised_at DESC) = 1),
         l AS (SELECT node, CASE WHEN parent IN (SELECT node FROM n) THEN parent END AS parent FROM n),
         t AS (SELECT node, node AS root, 0 AS depth FROM l WHERE parent IS NULL UNION ALL SELECT l.node, t.root, t.depth + 1 FROM l JOIN t ON l.parent = t.node),

@@ -249,3 +249,20 @@ SQL |= {
     "lint_footnotes": f"WITH {_MADE} SELECT doc_id, 'orphan-marker' AS rule, CAST(NULL AS INTEGER) AS line, 'b' AS detail FROM m WHERE k % 5 = 0 UNION ALL SELECT doc_id, 'orphan-definition', NULL, 'c' FROM m WHERE k % 5 = 0",
     "lint_cross_references": f"WITH {_MADE} SELECT doc_id, 'D3' AS rule, CAST(NULL AS INTEGER) AS line, 'no definition for 2' AS detail FROM m WHERE k % 4 = 0",
 }
+
+
+def _phrase_counts() -> str:
+    """Counts of every phrase rule; what RE2 cannot say in one pattern (look-around) is said in two steps."""
+    plain = {k: p for k, p in lint.PHRASE_RULES.items() if k not in ("hedge", "transition-opening", "sweeping-abstraction-approximate")} | {k: lint.phrases(v) for k, v in lint.CATALOG.items()}
+    quoted = lambda p: p.replace("'", "''")
+    parts = [f"SELECT doc_id, '{'listicle-abstract' if k.startswith('listicle-abstract-') else k}' AS rule, len(regexp_extract_all(x, '{quoted(p)}')) AS n FROM l" for k, p in plain.items()]
+    parts.append(f"SELECT doc_id, 'hedge', len(regexp_extract_all(h, '{lint.phrases(lint.HEDGES)}')) FROM l")
+    parts.append(rf"SELECT doc_id, 'transition-opening', len(regexp_extract_all(x, '(?i)(?:^|[.!?][ \t]+)(?:{'|'.join(lint.OPENINGS)})[ ,]')) FROM l")
+    head = rf"(?i)(?:^|[.!?][ \t]+)(?:(?:the|this|that|a|an|every|our) )?(?:{'|'.join(lint.SWEEPING)}) [^.!?\n]*"
+    parts.append(rf"SELECT doc_id, 'sweeping-abstraction-approximate', len(list_filter(regexp_extract_all(x, '{head}'), lambda y: NOT regexp_matches(y, '(?i)\b(?:{'|'.join(lint.ACTORS)})\b'))) FROM l")
+    return " UNION ALL ".join(parts)
+
+
+SQL["lint_phrases"] = rf"""WITH l0 AS (SELECT doc_id, unnest(string_split({_UNIX}, chr(10))) AS x FROM documents WHERE text IS NOT NULL),
+    l AS (SELECT doc_id, x, regexp_replace(regexp_replace(x, '(?i)\brather\b([^.!?\n]*than)', 'r_ther\1', 'g'), '(?i)\brather\b([^.!?\n]*than)', 'r_ther\1', 'g') AS h FROM l0), c AS ({_phrase_counts()})
+    SELECT rule, CAST(sum(n) AS BIGINT) AS n_findings, count(DISTINCT doc_id) AS n_docs FROM c WHERE n > 0 GROUP BY rule"""
