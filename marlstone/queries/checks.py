@@ -448,7 +448,7 @@ SQL: dict[str, str] = {
         so AS (SELECT DISTINCT claim_id, lower(trim(s.doc_id)) AS source_id FROM (SELECT claim_id, unnest(CASE WHEN len(source_spans) > 0 THEN source_spans ELSE [NULL] END) AS s FROM cur)) SELECT z.*, source_id FROM z JOIN so USING (claim_id)""",
     "eval_cohens_kappa": """WITH p AS (SELECT doc_id, min(label) FILTER (rater = 'r1') AS a, min(label) FILTER (rater = 'r2') AS b FROM content_labels WHERE label IS NOT NULL GROUP BY 1), k AS (SELECT * FROM p WHERE a IS NOT NULL AND b IS NOT NULL),
         e AS (SELECT sum(x.n * y.n) AS q FROM (SELECT a AS c, count(*) AS n FROM k GROUP BY 1) x JOIN (SELECT b AS c, count(*) AS n FROM k GROUP BY 1) y USING (c)), s AS (SELECT count(*) AS n, avg(CAST(a = b AS INTEGER)) AS g FROM k)
-        SELECT n, round(g, 6) AS agreement, round((g - q / (n * n)) / (1 - q / (n * n)), 6) AS kappa FROM s, e""",
+        SELECT n, round(g, 6) AS agreement, round(CASE WHEN q = n * n THEN 1.0 ELSE (g - q / (n * n)) / (1 - q / (n * n)) END, 6) AS kappa FROM s, e""",
     "eval_factuality_rates": f"""WITH f AS ({analysis.SQL['eval_factuality']}) SELECT CAST(sum(n) AS BIGINT) AS n, round(coalesce(sum(n) FILTER (part <> 'novel'), 0) / sum(n), 6) AS claim_backed_rate, round(coalesce(sum(n) FILTER (part IN ('disputed', 'verified')), 0) / sum(n), 6) AS span_pass_rate FROM f""",
     "eval_signal_deltas": """WITH c AS (SELECT DISTINCT lower(trim(claim_id)) AS p, lower(trim(status)) AS a, confidence, p_posterior FROM claims), u AS (SELECT p, a, 'confidence' AS signal, confidence AS v FROM c UNION ALL SELECT p, a, 'p_posterior', p_posterior FROM c),
         g AS (SELECT p, signal, avg(v) FILTER (a = 'proposed') AS x, avg(v) FILTER (a = 'verified') AS y FROM u WHERE v IS NOT NULL GROUP BY 1, 2) SELECT signal, count(*) AS n, round(avg(y - x), 6) AS mean_delta FROM g WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1""",
