@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from marlstone.plans import rules
-from marlstone.plans.catalog import CLAIM_GRAPH, GraphCatalog, parse_schema, schema_from_edn
+from marlstone.plans.catalog import CLAIM_GRAPH, GraphCatalog, schema_from_edn
 from marlstone.plans.edn import EdnError, Keyword, List, Symbol, Tagged, read_all, read_edn, write_edn
 from marlstone.plans.oracle import evaluate
 from marlstone.plans.query import assert_not_blocked, competency_report, constraint_report, run_constraint, run_query
@@ -49,7 +49,7 @@ def test_edn_tags_are_kept():
 
 
 def test_schemas():
-    s = parse_schema(CLAIM_GRAPH)
+    s = CLAIM_GRAPH
     assert s["claim"]["confidence"] == "float" and s["source-span"]["page-index"] == "int" and next(iter(s["counter-claim"])) == "id"
     assert schema_from_edn("{:entities {:a {:attrs [:id :n] :types {:n :int}}}}") == {"a": {"id": "string", "n": "int"}}
 
