@@ -84,6 +84,51 @@ def shred(df: DataFrame, key: str, payload: str, embedded: tuple[str, ...] = ())
     return out.withColumnRenamed("k", key)
 
 
+#: Schema paths of objects, and names within one, that a set of tables may have.
+MOST_TABLES = 2_000
+
+
+def flat_tables(df: DataFrame, key: str, payload: str, embedded: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The nodes of all payloads grouped by schema path into tables that keep their parent-child links.
+
+    One table per path of objects: key, dewey, owner_dewey (the label of the nearest object or array element around it, by
+    truncation; null at the top) and a text column for each value that an object of the path holds. One per path of plain array
+    elements: key, dewey, owner_dewey, value. The rows of a table join those of its owner's on (key, owner_dewey = dewey). Identical
+    rows of df count once; damaged payloads give none. Payloads are parsed once and the nodes written; at most
+    MOST_TABLES paths and names are gathered. Names are taken as they are written, so one with a dot or brackets makes paths of its own.
+    """
+    from marlstone.storage import Scratch
+
+    nodes = Scratch(df.sparkSession, "shredded").keep(shred(df.select(key, payload).distinct(), key, payload, embedded))
+    plain = F.col("kind").isin("text", "number", "bool", "null")
+    found = nodes.where((F.col("kind") == "object") | (plain & F.col("path").endswith("[]"))).groupBy("path").agg(F.max((F.col("kind") == "object").cast("int")).alias("o"), F.max(plain.cast("int")).alias("v")).limit(MOST_TABLES + 1).collect()
+    owner = F.regexp_extract("path", r"^(.*)\.[^.\[\]]+$", 1)
+    named = nodes.where(plain & (owner != "")).select(owner.alias("owner"), F.regexp_extract("path", r"\.([^.\[\]]+)$", 1).alias("name")).distinct().limit(MOST_TABLES + 1).collect()
+    if len(found) > MOST_TABLES or len(named) > MOST_TABLES:
+        raise ValueError(f"more than {MOST_TABLES} paths or names")
+    names: dict[str, list[str]] = {}
+    for r in named:
+        names.setdefault(r["owner"], []).append(r["name"])
+    out: dict[str, DataFrame] = {}
+    for r in sorted(found, key=lambda r: r["path"]):
+        path = r["path"]
+        # an element of an array stands one label below the array, and so on for arrays of arrays
+        up = 1 + len(re.search(r"(?:\[\])*$", path)[0]) // 2
+        label = F.split("dewey", r"\.")
+        above = F.when(F.size(label) >= up, F.array_join(F.slice(label, 1, F.size(label) - up), ".")) if path != "$" else F.lit(None).cast("string")
+        if r["o"]:
+            cols = sorted(names.get(path, []))
+            own = nodes.where((F.col("path") == path) & (F.col("kind") == "object")).select(key, "dewey", above.alias("owner_dewey"))
+            if cols:
+                held = nodes.where(F.col("path").isin([f"{path}.{c}" for c in cols]) & plain).groupBy(key, F.col("parent_dewey").alias("dewey")).agg(
+                    *[F.max(F.when(F.col("path") == f"{path}.{c}", F.col("value"))).alias(c if c not in (key, "dewey", "owner_dewey") else f"{c}_") for c in cols])
+                own = own.join(held, [key, "dewey"], "left")
+            out[path] = own
+        if r["v"] and path.endswith("[]"):
+            out[path if not r["o"] else f"{path}#value"] = nodes.where((F.col("path") == path) & plain).select(key, "dewey", above.alias("owner_dewey"), "value")
+    return out
+
+
 def _nearest(label: Label, found: dict[Label, str]) -> str | None:
     for i in range(len(label), -1, -1):
         if label[:i] in found:

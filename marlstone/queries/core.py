@@ -105,6 +105,12 @@ def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_nodes"), F.count_distinct("record_id").alias("n_records"))
 
 
+def p2_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The table of the spans that stand in a list at the top of a payload, one of those grouped by schema path."""
+    t = nested.flat_tables(table(spark, d, "raw_claims"), "record_id", "payload", ("source_spans",))["$.source_spans[]"]
+    return t.select("record_id", "dewey", "owner_dewey", "doc_id", "locator_text", "page_index")
+
+
 # p3: history of status
 
 
@@ -190,6 +196,7 @@ QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_claims": p2_claims,
     "p2_nodes": p2_nodes,
+    "p2_spans": p2_spans,
     "p3_found": p3_found,
     "p3_history": p3_history,
     "p4_found": p4_found,

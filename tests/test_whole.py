@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from marlstone.operators import belief, lint, timestamps
+from marlstone.operators import belief, lint, nested, timestamps
 from marlstone.plans import rules
 
 
@@ -103,3 +103,18 @@ def test_bare_numbers_of_any_year():
     assert out == [s * 10**6 for s in seconds for _ in range(4)]
     short = timestamps.to_utc_micros(pd.Series(["2024", "20240102", "0"]), pd.Series([None] * 3), pd.Series([None] * 3), {}).tolist()
     assert short == [timestamps.NONE] * 3
+
+
+def test_tables_by_schema_path(spark):
+    one = '{"id": "a", "n": 3, "spans": [{"doc": "x", "loc": {"page": 1}}, null, {"doc": "y"}, "bare"], "tags": ["p", "q"], "grid": [[{"v": 1}], [{"v": 2}]], "key": "own"}'
+    rows = [(1, one), (1, one), (2, '{"id": "b", "spans": "[{\\"doc\\": \\"z\\"}]"}'), (3, "{damaged"), (4, None), (5, "[1, 2]")]
+    t = nested.flat_tables(spark.createDataFrame(rows, "key int, payload string"), "key", "payload", ("spans",))
+    got = lambda path, *cols: sorted((tuple(r[c] for c in cols) for r in t[path].collect()), key=str)
+    assert set(t) == {"$", "$.spans[]", "$.spans[]#value", "$.spans[].loc", "$.tags[]", "$.grid[][]", "$[]"}
+    assert got("$", "key", "dewey", "owner_dewey", "id", "n", "key_") == [(1, "", None, "a", "3", "own"), (2, "", None, "b", None, None)]
+    assert got("$.spans[]", "key", "dewey", "owner_dewey", "doc") == [(1, "000002.000000", "", "x"), (1, "000002.000002", "", "y"), (2, "000001.000000", "", "z")]
+    assert got("$.spans[].loc", "key", "owner_dewey", "page") == [(1, "000002.000000", "1")]
+    assert got("$.tags[]", "dewey", "owner_dewey", "value") == [("000003.000000", "", "p"), ("000003.000001", "", "q")]
+    assert got("$.grid[][]", "dewey", "owner_dewey", "v") == [("000004.000000.000000", "", "1"), ("000004.000001.000000", "", "2")]
+    assert got("$.spans[]#value", "value") == [("bare",), (None,)] and got("$[]", "key", "owner_dewey", "value") == [(5, None, "1"), (5, None, "2")]
+    assert nested.flat_tables(spark.createDataFrame([], "key int, payload string"), "key", "payload") == {}
