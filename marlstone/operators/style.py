@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +15,10 @@ from marlstone.operators.ordered import lag_in_buckets
 
 #: Words of a profile, and the least words of a text that a verdict is given for.
 TOP_WORDS, LEAST_WORDS = 300, 1000
+#: Documents whose words are counted at once in a worker.
+BLOCK = 1024
+#: The bytes of T.TOKEN; no other character's UTF-8 has them.
+_IN_WORD = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz'"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -18,9 +27,55 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.size("w").alias("words"), F.explode("w").alias("word")).groupBy("doc_id", "words", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _split(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words (T.tokens) of lower-case texts, one after another, and how many each text has."""
+    text = text.cast(pa.large_string())
+    at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(text.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    at, inside = at - at[0], _IN_WORD[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[at] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | cut[1:-1]
+    last[:-1] &= ~inside[1:] | cut[1:-1]
+    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    ends = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(data[inside])])
+    return words, np.diff(np.searchsorted(begin, at))
+
+
+def _over_blocks(docs: DataFrame, schema: str, fold: Callable[[pa.Array, pa.Array, np.ndarray], pa.RecordBatch]) -> DataFrame:
+    """What fold makes of the keys, all words and numbers of words of each block of documents with words.
+
+    A document's words stay in the task that read it: nothing is shuffled and no list of words is built row by row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, BLOCK):
+                block = b.slice(i, BLOCK)
+                words, n = _split(block.column(1))
+                if len(words):
+                    yield fold(block.column(0).filter(pa.array(n > 0)), words, n[n > 0])
+
+    return docs.where("text is not null").select("doc_id", F.lower("text").alias("text")).mapInArrow(run, schema)
+
+
+def _frequencies(words: pa.Array, n: np.ndarray, listed: pa.Array) -> np.ndarray:
+    """The relative frequency of each listed word (columns) in each document (rows)."""
+    at = pc.index_in(words, value_set=listed).fill_null(-1).to_numpy(zero_copy_only=False)
+    cell = (np.repeat(np.arange(len(n)) * len(listed), n) + at)[at >= 0]
+    return np.bincount(cell, minlength=len(n) * len(listed)).reshape(len(n), len(listed)) / n[:, None]
+
+
 def most_common_words(docs: DataFrame, n: int = TOP_WORDS) -> DataFrame:
     """word, n, rank of the n most common words; ties in the order of the word."""
-    rows = docs.where("text is not null").select(F.explode(T.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+    def fold(_: pa.Array, words: pa.Array, __: np.ndarray) -> pa.RecordBatch:
+        word, count = words.value_counts().flatten()
+        return pa.RecordBatch.from_arrays([word.cast(pa.string()), count], names=["word", "n"])
+
+    rows = _over_blocks(docs, "word string, n long", fold).groupBy("word").agg(F.sum("n").alias("n"))
     top = rows.orderBy(F.col("n").desc(), "word").limit(n)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "word")))
 
@@ -28,16 +83,28 @@ def most_common_words(docs: DataFrame, n: int = TOP_WORDS) -> DataFrame:
 def build_profile(docs: DataFrame, n: int = TOP_WORDS) -> DataFrame:
     """word, rank, mean, stdev of the relative frequency of each common word over the documents with words.
 
-    At most n rows. Documents without the word count 0.
+    At most n rows; the words themselves are gathered first. Documents without the word count 0.
     """
-    top = most_common_words(docs, n).select("word", "rank")
-    total = docs.where("text is not null").select(T.tokens(F.col("text")).alias("w")).where(F.size("w") > 0).agg(F.count(F.lit(1)).alias("docs"))
-    freq = word_counts(docs).join(top, "word").select("word", "rank", (F.col("n") / F.col("words")).alias("f"))
-    sums = freq.groupBy("word", "rank").agg(F.sum("f").alias("s"), F.sum(F.col("f") * F.col("f")).alias("q")).join(total, F.lit(True))
+    top = sorted((r["rank"], r["word"]) for r in most_common_words(docs, n).collect())
+    listed = [word for _, word in top]
+
+    def fold(_: pa.Array, words: pa.Array, total: np.ndarray) -> pa.RecordBatch:
+        f = _frequencies(words, total, pa.array(listed, pa.large_string()))
+        sums = [pa.array(f.sum(axis=0)), pa.array((f * f).sum(axis=0)), pa.array(np.full(len(listed), len(f)))]
+        return pa.RecordBatch.from_arrays([pa.array(listed, pa.string()), pa.array([r for r, _ in top], pa.int32()), *sums], names=["word", "rank", "s", "q", "docs"])
+
+    sums = _over_blocks(docs, "word string, rank int, s double, q double, docs long", fold).groupBy("word", "rank").agg(*[F.sum(c).alias(c) for c in ("s", "q", "docs")])
     mean = F.col("s") / F.col("docs")
     return sums.select("word", "rank", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("docs") - mean * mean)).alias("stdev"))
 
 
+def _against(profile: DataFrame) -> tuple[list[str], np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+    """The profile's words and means (gathered: a bounded list, TOP_WORDS rows) and the z-scores of frequencies."""
+    rows = profile.select("word", "mean", "stdev").collect()
+    mean, stdev = (np.array([r[c] for r in rows], dtype=float) for c in ("mean", "stdev"))
+    return [r["word"] for r in rows], mean, lambda f: np.divide(f - mean, stdev, out=np.zeros(f.shape), where=stdev > 0)
+
+
 def _deviations(docs: DataFrame, profile: DataFrame) -> DataFrame:
     """doc_id, words, word, f, mean, stdev for every document and profile word, absent words with f = 0.
 
@@ -55,8 +122,19 @@ def _z() -> Column:
 
 
 def burrows_delta(docs: DataFrame, profile: DataFrame) -> DataFrame:
-    """doc_id, words, delta (mean absolute z-score over the profile's words), l1 (mean absolute difference of frequencies)."""
-    return _deviations(docs, profile).groupBy("doc_id", "words").agg(F.avg(F.abs(_z())).alias("delta"), F.avg(F.abs(F.col("f") - F.col("mean"))).alias("l1"))
+    """doc_id, words, delta (mean absolute z-score over the profile's words), l1 (mean absolute difference of frequencies).
+
+    One row per document with words, none if the profile is empty.
+    """
+    listed, mean, scores = _against(profile)
+
+    def fold(keys: pa.Array, words: pa.Array, total: np.ndarray) -> pa.RecordBatch:
+        f = _frequencies(words, total, pa.array(listed, pa.large_string()))
+        columns = [keys, pa.array(total, pa.int32()), pa.array(np.abs(scores(f)).mean(axis=1)), pa.array(np.abs(f - mean).mean(axis=1))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "words", "delta", "l1"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _over_blocks(docs if listed else docs.limit(0), f"doc_id {kind}, words int, delta double, l1 double", fold)
 
 
 def cosine_delta(docs: DataFrame, profile: DataFrame, target: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Queries over whole profiles, witness lists and constraints."""
 
 import collections
+import re
 import statistics
 
 import pandas as pd
@@ -42,6 +43,36 @@ def test_style_over_the_whole_profile(spark, tmp_path):
         assert all(r[2] == pytest.approx(z[k][r[1]], abs=2e-6) for r in got)
 
 
+def odd_prose(spark, path):
+    """Documents of more than a block with words at the edges of texts, other scripts and no words; their frequencies, means and deviations."""
+    odd = ["the", "the", "end of", "ofthe", "", " ", None, "it's 'tis don't", "The\r\nCAT", "\u212aing \u0130stanbul na\u00efve \u00e9the\u00e9", "1a2b_c", "\u4e2d\u6587", "12 - 34"]
+    texts = odd + [f"the cat sat on w{chr(97 + i % 26)} " * (1 + i % 7) for i in range(1200)] + ["the cat sat on words of it " * 200, "dogs ran " * 600]
+    docs = [(i, t, "s", "chapter_draft" if i % 3 else "digest", "c") for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, doc_kind string, chapter_id string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    counts = {i: collections.Counter(re.findall("[a-z']+", (t or "").lower())) for i, t, *_ in docs}
+    counts = {i: c for i, c in counts.items() if c}
+    total = sum((c for i, c in counts.items() if i % 3), collections.Counter())
+    common = sorted(total, key=lambda w: (-total[w], w))[:300]
+    freq = {i: {w: c[w] / c.total() for w in common} for i, c in counts.items()}
+    mean = {w: statistics.fmean(f[w] for i, f in freq.items() if i % 3) for w in common}
+    dev = {w: statistics.pstdev([f[w] for i, f in freq.items() if i % 3]) for w in common}
+    z = {i: {w: (f[w] - mean[w]) / dev[w] for w in common} for i, f in freq.items()}
+    return counts, {i: {w: f[w] - mean[w] for w in common} for i, f in freq.items()}, z
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_verdicts_move_no_documents(spark, tmp_path):
+    counts, _, z = odd_prose(spark, tmp_path)
+    df = entry.queries()["style_verdicts"](spark, str(tmp_path))
+    assert not re.search("Exchange|Join|Generate", plan(df))
+    delta = {i: statistics.fmean(map(abs, x.values())) for i, x in z.items()}
+    assert {r["doc_id"]: r["verdict"] for r in df.collect()} == {
+        i: "abstain" if c.total() < 1000 else "in-band" if delta[i] <= 0.75 else "near" if delta[i] <= 0.95 else "out" for i, c in counts.items()}
+
+
 def test_all_witnesses_with_parents_first(spark):
     c = spark.createDataFrame([("a", True), ("b", False), ("c", True), ("d", True)], "claim_id string, load_bearing boolean")
     s = spark.createDataFrame([("a", "d", str(i)) for i in range(8)] + [("b", "d", "x"), ("c", "d", "0")], "claim_id string, doc_id string, locator_text string")
