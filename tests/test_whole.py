@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from marlstone.operators import belief, lint, nested, timestamps
+from marlstone.operators import belief, lint, nested, style, timestamps
 from marlstone.plans import rules
 
 
@@ -73,6 +73,19 @@ def test_verdicts_move_no_documents(spark, tmp_path):
         i: "abstain" if c.total() < 1000 else "in-band" if delta[i] <= 0.75 else "near" if delta[i] <= 0.95 else "out" for i, c in counts.items()}
 
 
+def test_deltas_move_no_documents(spark, tmp_path):
+    counts, off, z = odd_prose(spark, tmp_path)
+    df = entry.queries()["style_delta"](spark, str(tmp_path))
+    assert not re.search("Exchange|Join|Generate", plan(df))
+    got = {r["doc_id"]: r for r in df.collect()}
+    assert {i: r["words"] for i, r in got.items()} == {i: c.total() for i, c in counts.items()}
+    for i, r in got.items():
+        assert r["delta"] == pytest.approx(statistics.fmean(map(abs, z[i].values())), abs=2e-6)
+        assert r["l1"] == pytest.approx(statistics.fmean(map(abs, off[i].values())), abs=2e-8)
+    none = style.burrows_delta(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), style.build_profile(spark.createDataFrame([(1, "1 2"), (2, None)], "doc_id long, text string")))
+    assert none.columns == ["doc_id", "words", "delta", "l1"] and none.count() == 0
+
+
 def test_all_witnesses_with_parents_first(spark):
     c = spark.createDataFrame([("a", True), ("b", False), ("c", True), ("d", True)], "claim_id string, load_bearing boolean")
     s = spark.createDataFrame([("a", "d", str(i)) for i in range(8)] + [("b", "d", "x"), ("c", "d", "0")], "claim_id string, doc_id string, locator_text string")
