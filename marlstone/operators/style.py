@@ -151,9 +151,25 @@ def delta_verdict(delta: Column, words: Column, p10: float, p90: float, least: i
 
 
 def contributions(docs: DataFrame, profile: DataFrame, k: int = 15) -> DataFrame:
-    """doc_id, word, z, rank: the k words of each document that deviate most; k bounds the rows, profile words the work."""
-    w = Window.partitionBy("doc_id").orderBy(F.abs(F.round("z", 6)).desc(), "word")
-    return _deviations(docs, profile).withColumn("z", _z()).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("doc_id", "word", "z", "rank")
+    """doc_id, word, z, rank: the k words of each document that deviate most (to six decimals, ties in the order of the word).
+
+    k bounds the rows, profile words the work. A document's nearest candidates leave its block with all that rounding may
+    tie with them, and are ranked in their row.
+    """
+    listed, _, scores = _against(profile)
+
+    def fold(keys: pa.Array, words: pa.Array, total: np.ndarray) -> pa.RecordBatch:
+        z = scores(_frequencies(words, total, pa.array(listed, pa.large_string())))
+        size, at = np.abs(z), min(max(len(listed) - k, 0), len(listed) - 1)
+        near = size >= np.partition(size, at, axis=1)[:, at : at + 1] - 1e-5
+        ends = np.concatenate([[0], np.cumsum(near.sum(axis=1))])
+        rows = pa.StructArray.from_arrays([pa.array(listed, pa.string()).take(pa.array(np.nonzero(near)[1])), pa.array(z[near])], names=["word", "z"])
+        return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], names=["doc_id", "near"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = _over_blocks(docs if listed else docs.limit(0), f"doc_id {kind}, near array<struct<word: string, z: double>>", fold)
+    order = F.sort_array(F.transform("near", lambda x: F.struct((-F.abs(F.round(x["z"], 6))).alias("size"), x["word"].alias("word"), x["z"].alias("z"))))
+    return found.select("doc_id", F.posexplode(F.slice(order, 1, k)).alias("i", "x")).select("doc_id", "x.word", "x.z", (F.col("i") + 1).alias("rank"))
 
 
 def percentile_band(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:

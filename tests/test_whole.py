@@ -86,6 +86,31 @@ def test_deltas_move_no_documents(spark, tmp_path):
     assert none.columns == ["doc_id", "words", "delta", "l1"] and none.count() == 0
 
 
+def test_top_deviations_move_no_documents(spark, tmp_path):
+    _, _, z = odd_prose(spark, tmp_path)
+    df = entry.queries()["style_top_deviations"](spark, str(tmp_path))
+    assert not re.search("Exchange|Join|Window", plan(df))
+    got = collections.defaultdict(dict)
+    for r in df.collect():
+        got[r["doc_id"]][r["rank"]] = (r["word"], r["z"])
+    assert got.keys() == z.keys()
+    for i, rows in got.items():
+        assert list(sorted(rows)) == list(range(1, 1 + min(15, len(z[i]))))
+        assert all(v == pytest.approx(z[i][w], abs=2e-6) for w, v in rows.values())
+        assert [abs(rows[r][1]) for r in sorted(rows)] == pytest.approx(sorted(map(abs, z[i].values()), reverse=True)[:15], abs=2e-6)
+        assert [rows[r] for r in sorted(rows)] == sorted(rows.values(), key=lambda x: (-abs(x[1]), x[0]))
+
+
+def test_ties_of_deviations_go_by_word(spark):
+    # to six decimals b and c deviate alike, though c's frequency is a trifle further from the mean
+    profile = spark.createDataFrame([("c", 0.3 + 1e-9, 1.0), ("b", 0.3, 1.0), ("d", 0.5, 0.0), ("a", 0.1, 1.0)], "word string, mean double, stdev double")
+    docs = spark.createDataFrame([(1, "x y"), (2, "a a"), (3, "...")], "doc_id long, text string")
+    got = lambda k: sorted((r["doc_id"], r["rank"], r["word"]) for r in style.contributions(docs, profile, k).collect())
+    assert got(1) == [(1, 1, "b"), (2, 1, "a")] and got(0) == []
+    every = [(1, 1, "b"), (1, 2, "c"), (1, 3, "a"), (1, 4, "d"), (2, 1, "a"), (2, 2, "b"), (2, 3, "c"), (2, 4, "d")]
+    assert got(4) == every and got(9) == every
+
+
 def test_all_witnesses_with_parents_first(spark):
     c = spark.createDataFrame([("a", True), ("b", False), ("c", True), ("d", True)], "claim_id string, load_bearing boolean")
     s = spark.createDataFrame([("a", "d", str(i)) for i in range(8)] + [("b", "d", "x"), ("c", "d", "0")], "claim_id string, doc_id string, locator_text string")
