@@ -15,8 +15,8 @@ from marlstone.operators.ordered import lag_in_buckets
 
 #: Words of a profile, and the least words of a text that a verdict is given for.
 TOP_WORDS, LEAST_WORDS = 300, 1000
-#: Documents whose words are counted at once in a worker.
-BLOCK = 1024
+#: Documents, and bytes of their texts, whose words are counted at once in a worker: that takes some nine times the bytes.
+BLOCK, BLOCK_BYTES = 1024, 2 << 20
 #: The bytes of T.TOKEN; no other character's UTF-8 has them.
 _IN_WORD = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz'"))
 
@@ -44,6 +44,17 @@ def _split(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words, np.diff(np.searchsorted(begin, at))
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows with at most BLOCK rows and BLOCK_BYTES of text (column 1, no nulls), or one longer text."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    i = 0
+    while i < batch.num_rows:
+        fit = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK_BYTES, "right")) - i
+        n = max(1, min(fit, BLOCK))
+        yield batch.slice(i, n)
+        i += n
+
+
 def _over_blocks(docs: DataFrame, schema: str, fold: Callable[[pa.Array, pa.Array, np.ndarray], pa.RecordBatch]) -> DataFrame:
     """What fold makes of the keys, all words and numbers of words of each block of documents with words.
 
@@ -52,8 +63,7 @@ def _over_blocks(docs: DataFrame, schema: str, fold: Callable[[pa.Array, pa.Arra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, BLOCK):
-                block = b.slice(i, BLOCK)
+            for block in _blocks(b):
                 words, n = _split(block.column(1))
                 if len(words):
                     yield fold(block.column(0).filter(pa.array(n > 0)), words, n[n > 0])

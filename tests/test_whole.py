@@ -5,6 +5,8 @@ import re
 import statistics
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 import __spark_entry__ as entry
@@ -86,6 +88,32 @@ def test_deltas_move_no_documents(spark, tmp_path):
     assert none.columns == ["doc_id", "words", "delta", "l1"] and none.count() == 0
 
 
+def test_deltas_take_long_documents_in_small_blocks(spark, tmp_path):
+    # 60 documents of 200 kB, and one longer than a block: they came as one block, with nine times their bytes in a worker
+    texts = [f"the cat sat on w{chr(97 + i % 26)} " * 10_000 + "and the dog ran " * (i + 1) for i in range(60)] + ["a dog of the end " * 150_000]
+    docs = [(i, t, "s", "chapter_draft" if i % 3 else "digest", "c") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, doc_kind string, chapter_id string").coalesce(1)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+
+    def fold(keys, words, n):
+        return pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64()), pa.array([int(pc.sum(pc.binary_length(words)).as_py())], pa.int64())], names=["docs", "bytes"])
+
+    blocks = style._over_blocks(spark.read.parquet(str(tmp_path / "documents.parquet")), "docs long, bytes long", fold).collect()
+    assert sum(b["docs"] for b in blocks) == 61 and sum(b["bytes"] for b in blocks) == sum(len(t.replace(" ", "")) for t in texts)
+    assert all(b["docs"] == 1 or b["bytes"] <= 2 << 20 for b in blocks) and 7 <= len(blocks) <= 20
+
+    counts = [collections.Counter(t.split()) for t in texts]
+    common = set().union(*(c for i, c in enumerate(counts) if i % 3))
+    freq = [{w: c[w] / c.total() for w in common} for c in counts]
+    mean = {w: statistics.fmean(f[w] for i, f in enumerate(freq) if i % 3) for w in common}
+    dev = {w: statistics.pstdev([f[w] for i, f in enumerate(freq) if i % 3]) for w in common}
+    got = {r["doc_id"]: r for r in entry.queries()["style_delta"](spark, str(tmp_path)).collect()}
+    assert {i: r["words"] for i, r in got.items()} == {i: c.total() for i, c in enumerate(counts)}
+    for i, f in enumerate(freq):
+        assert got[i]["delta"] == pytest.approx(statistics.fmean(abs(f[w] - mean[w]) / dev[w] for w in common), abs=2e-6)
+        assert got[i]["l1"] == pytest.approx(statistics.fmean(abs(f[w] - mean[w]) for w in common), abs=2e-8)
+
+
 def test_top_deviations_move_no_documents(spark, tmp_path):
     _, _, z = odd_prose(spark, tmp_path)
     df = entry.queries()["style_top_deviations"](spark, str(tmp_path))
